@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bpe, site_lines
+from lodestack.llm import bpe, lookalikes, site_lines
 from lodestack.session import table
 
 
@@ -25,10 +25,34 @@ def p5_pages(spark: SparkSession, sf: str) -> DataFrame:
     return site_lines.without_lines(pages, p5_found(spark, sf))
 
 
+def _strings(spark: SparkSession, sf: str) -> DataFrame:
+    """Page texts, and both sides of the changes, as ``kind, id, text``."""
+    pages = table(spark, sf, "doc_pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "text")
+    changes = table(spark, sf, "field_changes")
+    before = changes.select(F.lit("before").alias("kind"), F.col("change_id").alias("id"), F.col("before").alias("text"))
+    after = changes.select(F.lit("after").alias("kind"), F.col("change_id").alias("id"), F.col("after").alias("text"))
+    return pages.unionByName(before).unionByName(after)
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes whose sides look the same, and pairs of pages that do."""
+    prints = lookalikes.prints(_strings(spark, sf))
+    pages = lookalikes.look_same(prints.where("kind = 'page'")).select(F.lit("page").alias("record_type"), "id_a", "id_b")
+    b, a = (prints.where(F.col("kind") == k).select("id", "print", "raw").distinct() for k in ("before", "after"))
+    same = b.alias("b").join(a.alias("a"), (F.col("a.id") == F.col("b.id")) & (F.col("a.print") == F.col("b.print")) & (F.col("a.raw") != F.col("b.raw")))
+    changes = same.select(F.lit("change").alias("record_type"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    return pages.unionByName(changes)
+
+
+def p7_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page text and change side in its one form."""
+    return lookalikes.unify(_strings(spark, sf)).select("kind", "id", "form")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's ids."""
     return bpe.encode_column(table(spark, sf, "documents"), "doc_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_pages": p5_pages, "p8_ids": p8_ids}
+QUERIES = {"p5_found": p5_found, "p5_pages": p5_pages, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids}
 ORACLE_SQL: dict[str, str] = {}
