@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bpe, lookalikes, site_lines
+from lodestack.llm import bpe, lookalikes, neighbours, site_lines
 from lodestack.session import table
 
 
@@ -25,6 +25,21 @@ def p5_pages(spark: SparkSession, sf: str) -> DataFrame:
     return site_lines.without_lines(pages, p5_found(spark, sf))
 
 
+def _neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = table(spark, sf, "chunk_vectors").select("vec_id", "embedder", "vector")
+    return neighbours.nearest_neighbours(chunks, "vec_id", "embedder", "vector")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of chunks of which one is among the ten nearest of the other."""
+    return neighbours.neighbour_pairs(_neighbours(spark, sf), "vec_id").select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
+
+
+def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest chunks of every chunk, with their cosine."""
+    return _neighbours(spark, sf).select("vec_id", "other", F.round("cosine", 4).alias("cosine"))
+
+
 def _strings(spark: SparkSession, sf: str) -> DataFrame:
     """Page texts, and both sides of the changes, as ``kind, id, text``."""
     pages = table(spark, sf, "doc_pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "text")
@@ -54,5 +69,5 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf, "documents"), "doc_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_pages": p5_pages, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids}
+QUERIES = {"p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids}
 ORACLE_SQL: dict[str, str] = {}
