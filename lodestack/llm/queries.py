@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bpe, lookalikes, neighbours, site_lines
+from lodestack.llm import bpe, language, lookalikes, mixture, neighbours, site_lines
 from lodestack.session import table
 
 
@@ -69,5 +69,39 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf, "documents"), "doc_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids}
+def _mixed(spark: SparkSession, sf: str) -> DataFrame:
+    targets = table(spark, sf, "mix_targets")
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text").where("text <> ''")
+    wanted = docs.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    return mixture.mix(bpe.count_tokens(wanted, ["doc_id", "source"]), targets)
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The chosen documents with their repeats, each with its shard and place in it."""
+    return _mixed(spark, sf)
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return mixture.shares(_mixed(spark, sf), table(spark, sf, "mix_targets"))
+
+
+def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs, aliases = table(spark, sf, "documents").select("doc_id", "text", "lang"), table(spark, sf, "lang_aliases")
+    lines, labels = language.training_lines(docs, aliases)
+    return docs, aliases, language.languages(docs, language.fit(lines, labels))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose label is missing or wrong, and the lines of documents in several languages."""
+    docs, aliases, labelled = _labelled(spark, sf)
+    return language.wrong_labels(docs, aliases, labelled).select("doc_id", "line_no", "lang").distinct()
+
+
+def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Language and confidence of every document, and of every line where there are several."""
+    return _labelled(spark, sf)[2].select("doc_id", "line_no", "lang", F.round("confidence", 3).alias("confidence"), "mixed")
+
+
+QUERIES = {"p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p10_found": p10_found, "p10_languages": p10_languages, "p9_mix": p9_mix, "p9_shares": p9_shares}
 ORACLE_SQL: dict[str, str] = {}
