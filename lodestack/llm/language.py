@@ -139,7 +139,7 @@ def fit(lines: list[str], labels: list[str], per_stratum: int = 60, rounds: int
     return model
 
 
-def training_lines(docs: DataFrame, aliases: DataFrame, sample: int = 6000, lines_each: int = 3, shortest: int = 60, longest: int = 600) -> tuple[list[str], list[str]]:
+def training_lines(docs: DataFrame, aliases: DataFrame, sample: int = 6000, lines_each: int = 4, shortest: int = 16, longest: int = 600) -> tuple[list[str], list[str]]:
     """Lines of at most ``sample`` labelled documents (the bound of the sample), with the language their label names."""
     named = docs.select("doc_id", "text", "lang").join(F.broadcast(aliases.select(F.col("label").alias("lang"), F.col("lang").alias("named"))), "lang")
     n = named.count()
@@ -156,16 +156,17 @@ def training_lines(docs: DataFrame, aliases: DataFrame, sample: int = 6000, line
 
 
 #: A line counts as another language than its document's from this lead on; shorter lines need more.
-LEAD, SHORT = 0.12, 6.0
+LEAD, SHORT = 0.2, 14.0
 
 
-def decide(scores: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
-    """``labels, main, leads`` of a document's non-blank lines.
+def decide(scores: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, int]:
+    """``labels, main`` of a document's non-blank lines.
 
     Every line first speaks for its best language with its size; the document's language is
-    the one with most characters. A line then keeps another language only if that leads the
+    the one with most characters. A line shows another language only if that leads the
     document's own by a margin that grows as the line has fewer n-grams; so names and a few
-    foreign words do not change a line. Lines without letters follow the document.
+    foreign words do not change a line. Where lines show several languages, each line gets
+    the best of these. Lines without letters follow the document.
     """
     k = scores.shape[1]
     sure = grams > 0
@@ -175,11 +176,14 @@ def decide(scores: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> tuple[np
     for _ in range(3):
         lead = scores[np.arange(len(best)), best] - scores[:, main]
         labels = np.where(sure & (lead > need), best, main)
-        again = int(np.bincount(labels, weights=sizes, minlength=k).argmax())
+        shown = np.unique(np.append(labels, main))
+        if len(shown) > 1:
+            labels = np.where(sure, shown[scores[:, shown].argmax(1)], main)
+        again = int(np.bincount(labels[sure] if sure.any() else labels, weights=sizes[sure] if sure.any() else sizes, minlength=k).argmax())
         if again == main:
             break
         main = again
-    return labels, main, lead
+    return labels, main
 
 
 def _confidence(scores: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -214,7 +218,7 @@ def _label(batches: Iterator[pa.RecordBatch], model: Model, spectrum: Spectrum)
             for i, j in zip(starts, [*starts[1:], len(lines)]):
                 if not grams[i:j].any():
                     continue
-                labels, main, _ = decide(scores[i:j], grams[i:j], sizes[i:j])
+                labels, main = decide(scores[i:j], grams[i:j], sizes[i:j])
                 mine = (grams[i:j] > 0) & (labels == main)
                 w = sizes[i:j] * mine
                 whole = (scores[i:j] * w[:, None]).sum(0) / max(1.0, w.sum())
