@@ -25,7 +25,7 @@ _WORD = re.compile(r"[^\W_]+")
 _BULLET = re.compile(r"^[•·\-–—*▪◦] ?(?=\S)")
 _FIGURE = [re.compile(p) for p in (r"^[^|]+ \| ([^|]+) \| \d", r"^[^()|]+ \(([^()]+)\): ?\d", r"^(.+?), [^,—|]+ — \d")]
 _TABLE = re.compile(r"^\d[\d ,.]*%?(?: \| \d[\d ,.]*%?)+$")
-_PATH = re.compile(r"[>›»/|] ?\d+$")
+_PATH = re.compile(r" [>›»/|] [^>›»/|]+ [>›»/|] \d+$")
 _ASKS = re.compile(r"[?՞;]")
 _NUMBERED = re.compile(r"^\d+[.)] ")
 SENTENCE, QUESTION, TABLE, BULLET, FIGURE, SLOT, OWN, PATH, SHORT = (1 << i for i in range(9))
