@@ -111,7 +111,7 @@ def _writing(line: str) -> str:
     return max(n, key=n.__getitem__)
 
 
-def fit(lines: list[str], labels: list[str], per_stratum: int = 60, rounds: int = 3, penalty: float = 1.0, seed: int = 3) -> Model:
+def fit(lines: list[str], labels: list[str], per_stratum: int = 40, rounds: int = 3, penalty: float = 1.0, seed: int = 3) -> Model:
     """A model from labelled lines, part of whose labels are wrong.
 
     Landmarks are drawn per language and writing. After each round lines that the model
@@ -139,7 +139,7 @@ def fit(lines: list[str], labels: list[str], per_stratum: int = 60, rounds: int
     return model
 
 
-def training_lines(docs: DataFrame, aliases: DataFrame, sample: int = 6000, lines_each: int = 4, shortest: int = 16, longest: int = 600) -> tuple[list[str], list[str]]:
+def training_lines(docs: DataFrame, aliases: DataFrame, sample: int = 4000, lines_each: int = 4, shortest: int = 16, longest: int = 600) -> tuple[list[str], list[str]]:
     """Lines of at most ``sample`` labelled documents (the bound of the sample), with the language their label names."""
     named = docs.select("doc_id", "text", "lang").join(F.broadcast(aliases.select(F.col("label").alias("lang"), F.col("lang").alias("named"))), "lang")
     n = named.count()
