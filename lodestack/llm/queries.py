@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import boilerplate, bpe, language, lookalikes, mixture, neighbours, site_lines
+from lodestack.llm import boilerplate, bpe, language, lookalikes, mixture, neighbours, scans, site_lines
 from lodestack.session import table
 
 
@@ -28,6 +28,12 @@ def p1_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return boilerplate.main_text(pages.select("page_id", "text"), boilerplate.judged_lines(pages, _sites(spark, sf)))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Places to repair in scanned pages."""
+    pages = table(spark, sf, "doc_pages").select("page_id", "doc_id", "bank", "page_no", "text", "method", "ocr_confidence")
+    return scans.find_defects(pages)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Each occurrence of a line that its site repeats."""
     pages = table(spark, sf, "doc_pages").select("page_id", "doc_id", "text")
@@ -118,5 +124,5 @@ def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
     return _labelled(spark, sf)[2].select("doc_id", "line_no", "lang", F.round("confidence", 3).alias("confidence"), "mixed")
 
 
-QUERIES = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p10_found": p10_found, "p10_languages": p10_languages, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p2_found": p2_found, "p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p10_found": p10_found, "p10_languages": p10_languages, "p9_mix": p9_mix, "p9_shares": p9_shares}
 ORACLE_SQL: dict[str, str] = {}
