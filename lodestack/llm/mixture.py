@@ -124,7 +124,7 @@ def mix(docs: DataFrame, targets: DataFrame, doc: str = "doc_id", source: str =
 def shares(mixture: DataFrame, targets: DataFrame, source: str = "source") -> DataFrame:
     """``source, target_share, max_repeat, n_docs, n_rows, n_tokens, share``: what each source got; zeros where it gave nothing."""
     got = mixture.groupBy(source).agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_rows"), F.sum("n_tokens").alias("n_tokens"), F.max("copy").alias("most_repeats"))
-    total = got.agg(F.sum("n_tokens").alias("total"))
-    joined = targets.join(got, source, "left").crossJoin(F.broadcast(total))  # one row
+    total = got.agg(F.sum("n_tokens")).scalar()
+    joined = targets.join(got, source, "left").withColumn("total", total)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return joined.select(source, "target_share", "max_repeat", zero("n_docs"), zero("n_rows"), zero("n_tokens"), zero("most_repeats"), F.round(F.coalesce(F.try_divide("n_tokens", "total"), F.lit(0.0)), 6).alias("share"))
