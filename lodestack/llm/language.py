@@ -116,8 +116,11 @@ def fit(lines: list[str], labels: list[str], per_stratum: int = 40, rounds: int
 
     Landmarks are drawn per language and writing. After each round lines that the model
     puts elsewhere are left out of the next, so that wrong labels do not stay in it.
+    Without labelled lines the model has no language and labels nothing.
     """
     languages = sorted(set(labels))
+    if not languages:
+        return Model([], np.zeros((BUCKETS, 0), np.float32))
     y = np.array([languages.index(x) for x in labels])
     writing = np.array([_writing(x) for x in lines])
     spectrum, rng = Spectrum(), np.random.default_rng(seed)
@@ -209,7 +212,7 @@ def _label(batches: Iterator[pa.RecordBatch], model: Model, spectrum: Spectrum)
                         lines.append(x)
                         owner.append(d)
                         number.append(i)
-            if not lines:
+            if not lines or not model.languages:
                 continue
             scores, grams = model.scores(spectrum, lines)
             owner_, sizes = np.array(owner), np.array([len(x) for x in lines], float)

@@ -125,4 +125,10 @@ def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p2_found": p2_found, "p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p10_found": p10_found, "p10_languages": p10_languages, "p9_mix": p9_mix, "p9_shares": p9_shares}
-ORACLE_SQL: dict[str, str] = {}
+_KEY = "trim(regexp_replace(replace(replace(lower(line), 'և', 'եւ'), 'ß', 'ss'), '[ \t]+', ' ', 'g'), ' ')"
+_REPEATED = rf"""WITH d AS (SELECT doc_id, min(regexp_replace(regexp_extract(lower(trim(source_url)), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', '')) AS site FROM source_docs GROUP BY doc_id),
+l AS (SELECT page_id, doc_id, site, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM doc_pages JOIN d USING (doc_id)),
+k AS (SELECT page_id, doc_id, site, line_no, {_KEY} AS k FROM l),
+n AS (SELECT site, count(DISTINCT doc_id) AS docs FROM k GROUP BY site),
+f AS (SELECT site, k FROM k JOIN n USING (site) WHERE k <> '' GROUP BY site, k, docs HAVING count(DISTINCT doc_id) >= greatest(5, ceil(docs / 8.0)))"""
+ORACLE_SQL: dict[str, str] = {"p5_found": f"{_REPEATED} SELECT page_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (site, k)"}
