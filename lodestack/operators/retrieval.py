@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,29 +31,45 @@ def document_frequency(indexed: DataFrame) -> DataFrame:
     return indexed.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def inverse_frequency(df: DataFrame, totals: DataFrame) -> DataFrame:
-    """``token, idf``: ln(docs - n + 0.5) - ln(n + 0.5), negative ones replaced by a share of the mean over all tokens."""
-    n_docs = totals.select("n_docs").scalar()
-    raw = df.select("token", (F.log(n_docs - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw")).scalar()
-    return raw.select("token", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
+@dataclass(frozen=True)
+class Statistics:
+    """What BM25 needs of a whole corpus: document frequencies as a written table, and two numbers."""
+
+    df: DataFrame
+    n_docs: int
+    avgdl: float
+
+
+def statistics(indexed: DataFrame) -> Statistics:
+    """Document frequencies, number and mean length of all chunks, in one pass and one shuffle: a chunk
+    sends each distinct token once, and one row without token that carries its length."""
+    tokens = F.concat(F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.lit(0).alias("dl"))), F.array(F.struct(F.lit(None).cast("string").alias("token"), F.col("dl"))))
+    counted = cut(indexed.select(F.inline(tokens)).groupBy("token").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")))
+    whole = counted.where("token IS NULL").first()
+    n, total = (whole["n"], whole["dl"]) if whole else (0, 0)
+    return Statistics(counted.where("token IS NOT NULL").select("token", "n"), n, float(total or 0) / n if n else 1.0)
+
+
+def inverse_frequency(stats: Statistics) -> DataFrame:
+    """``token, idf``: ln(N - n + 0.5) - ln(n + 0.5), negative ones replaced by a share of the mean over all tokens."""
+    raw = stats.df.select("token", (F.log(F.lit(stats.n_docs) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    return raw.select("token", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(indexed: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25_scores(indexed: DataFrame, queries: DataFrame, stats: Statistics | None = None) -> DataFrame:
     """``query_id, id, score`` of every chunk that has a token of a query.
 
     ``queries``: ``query_id, query``, a stated set of few rows. A token asked twice counts
-    twice. Chunks are narrowed to the asked tokens before anything is shuffled; corpus totals
-    are two scalars.
+    twice. Chunks are narrowed to the asked tokens before anything is shuffled.
     """
-    totals = indexed.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    stats = stats or statistics(indexed)
     asked = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    idf = inverse_frequency(document_frequency(indexed), totals)
+    weighted = asked.join(inverse_frequency(stats), "token")
     terms = F.broadcast(asked.select("token").distinct())
     hits = indexed.select("id", "dl", F.explode("tokens").alias("token")).join(terms, "token", "left_semi").groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
-    weighted = asked.join(idf, "token")
-    part = F.col("idf") * F.col("times") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    joined = hits.join(F.broadcast(weighted), "token").withColumn("avgdl", totals.select("avgdl").scalar())  # the tokens of a stated query set
+    part = F.col("idf") * F.col("times") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats.avgdl)))
+    joined = hits.join(F.broadcast(weighted), "token")  # the tokens of a stated query set
     return joined.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
@@ -94,23 +112,24 @@ def search_fields(chunks: DataFrame, fields: DataFrame, id: str, text: str, k: i
     ``query_id, id, rank, fused, lexical_rank, lexical_score, has_term, has_value``. If the
     best shaped chunk is not among the ``k``, it takes the last place.
     """
-    indexed = cut(postings(chunks, id, text))  # read six times below
+    indexed = cut(postings(chunks, id, text))  # tokenised once, read for statistics, scores and terms
+    stats = statistics(indexed)
     per_term = fields.select(F.concat_ws("#", "query_id", "term_pos").alias("query_id"), F.col("term").alias("query"))
-    lexical = ranked(bm25_scores(indexed, per_term), 3 * k, ["query_id"], [F.desc("score"), F.asc("id")]).where("score > 0")
+    lexical = ranked(bm25_scores(indexed, per_term, stats), 3 * k, ["query_id"], [F.desc("score"), F.asc("id")]).where("score > 0")
     parts = F.split("query_id", "#")
-    lexical = lexical.select(parts[0].alias("query_id"), parts[1].cast("int").alias("term_pos"), "id", "score", "rank")
+    lexical = cut(lexical.select(parts[0].alias("query_id"), parts[1].cast("int").alias("term_pos"), "id", "score", "rank"))
     weights = F.array(*[F.lit(w) for w in TERM_WEIGHTS])
     by_term = lexical.select("query_id", "id", "rank", F.get(weights, F.least(F.col("term_pos"), F.lit(len(TERM_WEIGHTS) - 1))).alias("weight"))
     merged = lexical.groupBy("query_id", "id").agg(F.min("rank").alias("best"), F.max("score").alias("lexical_score"))
     order = Window.partitionBy("query_id").orderBy("best", F.desc("lexical_score"), "id")
     merged = merged.withColumn("lexical_rank", F.row_number().over(order))
     kinds = fields.select("query_id", "kind").distinct()
-    hits = term_hits(indexed, fields, document_frequency(indexed))
+    hits = term_hits(indexed, fields, stats.df)
     texts = chunks.select(F.col(id).alias("id"), F.col(text).alias("text"))
     annotated = hits.join(F.broadcast(kinds), "query_id").join(texts, "id").select("query_id", "id", has_shape(F.col("text"), F.col("kind")).alias("has_value"))
-    scored = annotated.join(merged.select("query_id", "id", "lexical_score"), ["query_id", "id"], "left").withColumn("lexical_score", F.coalesce("lexical_score", F.lit(0.0)))
+    scored = cut(annotated.join(merged.select("query_id", "id", "lexical_score"), ["query_id", "id"], "left").withColumn("lexical_score", F.coalesce("lexical_score", F.lit(0.0))))
     shaped = ranked(scored.where("has_value"), 3 * k, ["query_id"], [F.desc("lexical_score"), F.asc("id")]).select("query_id", "id", "rank", F.lit(SHAPE_WEIGHT).alias("weight"))
-    fused = rrf(by_term.unionByName(shaped))
+    fused = cut(rrf(by_term.unionByName(shaped)))
     top = ranked(fused, k, ["query_id"], [F.desc("fused"), F.asc("id")])
     first = shaped.where("rank = 1").select("query_id", F.col("id").alias("best_shaped"))
     held = top.join(first, "query_id", "left")

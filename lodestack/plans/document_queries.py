@@ -14,7 +14,7 @@ from lodestack.sources import landing
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "doc_pages").select("page_id", "doc_id", "page_no", "bank", F.coalesce("text", F.lit("")).alias("text"), "method", "quality", "ocr_confidence")
+    return table(spark, sf, "doc_pages", heavy=True).select("page_id", "doc_id", "page_no", "bank", F.coalesce("text", F.lit("")).alias("text"), "method", "quality", "ocr_confidence")
 
 
 def normalize_chars(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +74,7 @@ def section_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
-    d = chunking.chunk_texts(table(spark, sf, "documents"), ["doc_id"], "text")
+    d = chunking.chunk_texts(table(spark, sf, "documents", heavy=True), ["doc_id"], "text")
     return d.select("doc_id", "ord", "start_at", "end_at", F.md5("chunk").alias("digest"))
 
 

@@ -30,7 +30,7 @@ FIELDS = [
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return table(spark, sf, "documents", heavy=True).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _indexed(spark: SparkSession, sf: str) -> DataFrame:

@@ -13,7 +13,7 @@ from lodestack.session import table
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
     """Every snapshots row with the fingerprint of its ten values; ``is_reading`` where the payload is valid JSON and not rejected."""
-    doc = table(spark, sf, "snapshots").select("id", "bank", "product_id", "run_id", "taken_at", "document_date", "status", tv.payload_variant(F.col("payload")).alias("doc"))
+    doc = table(spark, sf, "snapshots", heavy=True).select("id", "bank", "product_id", "run_id", "taken_at", "document_date", "status", tv.payload_variant(F.col("payload")).alias("doc"))
     taken = F.to_date("taken_at")
     stated = F.when(F.col("document_date") <= taken, F.col("document_date"))
     return doc.select(

@@ -60,7 +60,7 @@ def quote_verify(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rule_extract(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "doc_pages").select("doc_id", "page_id", "text")
+    pages = table(spark, sf, "doc_pages", heavy=True).select("doc_id", "page_id", "text")
     return x.rule_extract(pages, "doc_id", "page_id", "text", F.lower("sentence").rlike("rate|ставка|տոկոսադրույք"), "percent").select("doc_id", F.col("chunk_ord").alias("page_id"), "quote", "value")
 
 

@@ -42,9 +42,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """One of the driver's parquet tables.
+
+    ``heavy`` is for queries that work long on each row: a table of fewer splits than there are
+    cores, such as one small file, is spread over all of them. Tables of any size have more
+    splits than that and are left alone.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if heavy and df.rdd.getNumPartitions() < cores else df
 
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
