@@ -14,7 +14,7 @@ def _sites(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _web_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "doc_pages").where("method = 'html'").select("page_id", "doc_id", "text")
+    return table(spark, sf, "doc_pages", heavy=True).where("method = 'html'").select("page_id", "doc_id", "text")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,19 +30,19 @@ def p1_bodies(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Places to repair in scanned pages."""
-    pages = table(spark, sf, "doc_pages").select("page_id", "doc_id", "bank", "page_no", "text", "method", "ocr_confidence")
+    pages = table(spark, sf, "doc_pages", heavy=True).select("page_id", "doc_id", "bank", "page_no", "text", "method", "ocr_confidence")
     return scans.find_defects(pages)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Each occurrence of a line that its site repeats."""
-    pages = table(spark, sf, "doc_pages").select("page_id", "doc_id", "text")
+    pages = table(spark, sf, "doc_pages", heavy=True).select("page_id", "doc_id", "text")
     return site_lines.occurrences(*site_lines.repeated_lines(pages, _sites(spark, sf)))
 
 
 def p5_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Every page without the lines its site repeats."""
-    pages = table(spark, sf, "doc_pages").select("page_id", "doc_id", "text")
+    pages = table(spark, sf, "doc_pages", heavy=True).select("page_id", "doc_id", "text")
     return site_lines.without_lines(pages, p5_found(spark, sf))
 
 
@@ -63,7 +63,7 @@ def p6_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 def _strings(spark: SparkSession, sf: str) -> DataFrame:
     """Page texts, and both sides of the changes, as ``kind, id, text``."""
-    pages = table(spark, sf, "doc_pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "text")
+    pages = table(spark, sf, "doc_pages", heavy=True).select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), "text")
     changes = table(spark, sf, "field_changes")
     before = changes.select(F.lit("before").alias("kind"), F.col("change_id").alias("id"), F.col("before").alias("text"))
     after = changes.select(F.lit("after").alias("kind"), F.col("change_id").alias("id"), F.col("after").alias("text"))
@@ -87,12 +87,12 @@ def p7_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's ids."""
-    return bpe.encode_column(table(spark, sf, "documents"), "doc_id")
+    return bpe.encode_column(table(spark, sf, "documents", heavy=True), "doc_id")
 
 
 def _mixed(spark: SparkSession, sf: str) -> DataFrame:
     targets = table(spark, sf, "mix_targets")
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text").where("text <> ''")
+    docs = table(spark, sf, "documents", heavy=True).select("doc_id", "source", "text").where("text <> ''")
     wanted = docs.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
     return mixture.mix(bpe.count_tokens(wanted, ["doc_id", "source"]), targets)
 
@@ -108,7 +108,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    docs, aliases = table(spark, sf, "documents").select("doc_id", "text", "lang"), table(spark, sf, "lang_aliases")
+    docs, aliases = table(spark, sf, "documents", heavy=True).select("doc_id", "text", "lang"), table(spark, sf, "lang_aliases")
     lines, labels = language.training_lines(docs, aliases)
     return docs, aliases, language.languages(docs, language.fit(lines, labels))
 
