@@ -34,6 +34,12 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return scans.find_defects(pages)
 
 
+def p2_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Scanned documents as readable paragraphs."""
+    pages = table(spark, sf, "doc_pages", heavy=True).select("page_id", "doc_id", "bank", "page_no", "text", "method", "ocr_confidence")
+    return scans.paragraphs(pages, scans.repairs(pages)).select("doc_id", "block", "paragraph", "text")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Each occurrence of a line that its site repeats."""
     pages = table(spark, sf, "doc_pages", heavy=True).select("page_id", "doc_id", "text")
@@ -124,7 +130,7 @@ def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
     return _labelled(spark, sf)[2].select("doc_id", "line_no", "lang", F.round("confidence", 3).alias("confidence"), "mixed")
 
 
-QUERIES = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p2_found": p2_found, "p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p10_found": p10_found, "p10_languages": p10_languages, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p10_found": p10_found, "p10_languages": p10_languages, "p9_mix": p9_mix, "p9_shares": p9_shares}
 _KEY = "trim(regexp_replace(replace(replace(lower(line), 'և', 'եւ'), 'ß', 'ss'), '[ \t]+', ' ', 'g'), ' ')"
 _REPEATED = rf"""WITH d AS (SELECT doc_id, min(regexp_replace(regexp_extract(lower(trim(source_url)), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', '')) AS site FROM source_docs GROUP BY doc_id),
 l AS (SELECT page_id, doc_id, site, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM doc_pages JOIN d USING (doc_id)),

@@ -270,6 +270,9 @@ def test_find_defects(spark):
     for n in range(101, 109):
         assert {(n, 0, -1, "furniture"), (n, 6, -1, "furniture"), (n, 1, 5, "split"), (n, 3, 7, "split"), (n, 2, 6, "misread")} <= got
     assert not any(p < 100 or p >= 200 for p, *_ in got)
+    text = " ".join(r["text"] for r in scans.paragraphs(df, scans.repairs(df)).orderBy("doc_id", "block", "paragraph").collect())
+    assert text.startswith("the bank must give every customer a copy of the contract before the first payment is made and keep another one-off copy the bank")
+    assert "Bank of Examples" not in text and "|" not in text
     assert scans.find_defects(df.limit(0)).count() == 0
 
 
