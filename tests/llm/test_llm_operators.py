@@ -261,7 +261,7 @@ def test_true_numbers(token):
 
 
 def test_find_defects(spark):
-    words = "the bank must give every customer a copy of the contract before the first payment is made and keep another".split()
+    words = "the bank must give every customer a copy of the contract before the first payment is made and keep another one-off".split()
     clean = [(i, f"c{i}", "Bank", 1, " ".join(words) + ".", "html", None) for i in range(30)]
     body = lambda n: f"Bank of Examples\nthe bank must give every cust-\nomer a copy of tbe contract | before\nthe first payment is made and keep an-\nother one-\noff copy\n{n}"
     pages = clean + [(100 + n, "s", "Bank", n, body(n), "ocr", 80.0) for n in range(1, 9)] + [(200, "t", "Bank", 1, None, "ocr", 80.0), (201, "u", None, None, "", "ocr", 1.0)]
