@@ -171,11 +171,12 @@ def describe(text: str, subjects: set[str], longest: int) -> tuple[list[int], li
             kind |= PATH
         t, s = template(bare, subjects, longest) if len(bare) < 240 else (bare, [])
         kinds.append(kind)
-        found.append(set(s))
+        found.append(s)
         tmpl.append(_hash(t))
-    if not about:
-        about.update(x for k, s in zip(kinds, found) if k & SHORT and not k & (SENTENCE | QUESTION) for x in s)
-    own = max(about, key=about.__getitem__) if about else None
+    if about:
+        own = max(about, key=about.__getitem__)
+    else:  # without figures the title, or the path above it, names the subject first
+        own = next((x for k, s in zip(kinds, found) if k & SHORT and not k & (SENTENCE | QUESTION) for x in s[:1]), None)
     kinds = [k | (SLOT if s else 0) | (OWN if own in s else 0) for k, s in zip(kinds, found)]
     return no, tmpl, kinds, ratio
 
@@ -198,8 +199,8 @@ def regions(ratio: np.ndarray, sigma: float = 1.5) -> np.ndarray:
     return smooth > (lo + hi) / 2
 
 
-#: From these shares of a site's pages on, a short line or a sentence is furniture.
-SHARE_SHORT, SHARE_SENTENCE = 0.06, 0.025
+#: From these shares of a site's pages on, a short line, one with a bullet, or a sentence is furniture.
+SHARE_SHORT, SHARE_BULLET, SHARE_SENTENCE = 0.07, 0.15, 0.025
 #: Pages of corpus-wide evidence that are added to a site's own.
 PRIOR = 100
 
@@ -221,7 +222,7 @@ def decide(kinds: np.ndarray, ratio: np.ndarray, share: np.ndarray, own: np.ndar
     sentence, short = is_(SENTENCE), is_(SHORT)
     mine = is_(SLOT) & (own >= 0.5) & is_(OWN) & short
     other = is_(SLOT) & short & ~mine & ~is_(QUESTION) & ~sentence
-    common = share >= np.where(sentence, SHARE_SENTENCE, SHARE_SHORT)
+    common = share >= np.where(sentence, SHARE_SENTENCE, np.where(is_(BULLET), SHARE_BULLET, SHARE_SHORT))
     strong = (sentence & ~common) | (mine & ~is_(PATH)) | is_(QUESTION) | (is_(TABLE) & short)
     strong |= ~short & ~common & ~is_(PATH)
     item = short & ~sentence & ~is_(SLOT) & ~common & ~is_(PATH) & ~strong & (ratio >= 4)
