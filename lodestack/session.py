@@ -69,7 +69,11 @@ def ship(spark: SparkSession) -> None:
         return
     _SHIPPED.add(sc.applicationId)
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="lodestack-ship-"), "lodestack_src.zip")
+    # the driver serves the archive itself; the shared folder is used where it is a path
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    folder = os.path.join(shared, f"lodestack-{sc.applicationId}") if shared.startswith("/") else tempfile.mkdtemp(prefix="lodestack-ship-")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, "lodestack_src.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(root):
             for name in files:
