@@ -143,11 +143,13 @@ def fit(lines: list[str], labels: list[str], per_stratum: int = 40, rounds: int
 
 
 def training_lines(docs: DataFrame, aliases: DataFrame, sample: int = 4000, lines_each: int = 4, shortest: int = 16, longest: int = 600) -> tuple[list[str], list[str]]:
-    """Lines of at most ``sample`` labelled documents (the bound of the sample), with the language their label names."""
+    """Lines of about ``sample`` labelled documents (the bound of the sample), with the language their label names.
+
+    Documents are drawn by a hash of their id, so the same rows always give the same sample."""
     named = docs.select("doc_id", "text", "lang").join(F.broadcast(aliases.select(F.col("label").alias("lang"), F.col("lang").alias("named"))), "lang")
     n = named.count()
-    drawn = named.where(F.length("text") >= shortest).withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))).where(F.col("u") < min(1.0, 1.3 * sample / max(1, n)) * 1_000_000)
-    rows = drawn.select("text", "named").limit(sample).toPandas() if n else None
+    drawn = named.where(F.length("text") >= shortest).withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))).where(F.col("u") < min(1.0, sample / max(1, n)) * 1_000_000)
+    rows = drawn.orderBy("doc_id", "text").select("text", "named").toPandas() if n else None
     lines, labels = [], []
     for text, lang in zip(rows["text"], rows["named"]) if rows is not None else ():
         own = [x for x in text.split("\n") if len(x) >= shortest]

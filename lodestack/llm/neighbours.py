@@ -237,9 +237,11 @@ def _fit(reps: DataFrame, sizes: dict, s: Settings) -> list[Index]:
     """An index of each group from a bounded sample of its rows."""
     out = []
     for (g, d), n in sizes.items():
-        own = reps.where((F.col("grp") == g) & (F.col("dim") == d)).select("vec")
-        share = min(1.0, 1.2 * s.sample / n)
-        drawn = (own if share >= 1 else own.sample(share, s.seed)).limit(s.sample).toArrow().column("vec").combine_chunks()
+        own = reps.where((F.col("grp") == g) & (F.col("dim") == d)).select("rep", "vec")
+        share = min(1.0, s.sample / n)
+        if share < 1:  # by a hash of the id, so that the same rows always give the same index
+            own = own.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(share * 1_000_000))
+        drawn = own.orderBy("rep").select("vec").toArrow().column("vec").combine_chunks()
         x = _matrix(drawn.chunk(0) if isinstance(drawn, pa.ChunkedArray) else drawn)
         out.append(Index.fit(x.reshape(-1, d), n, s))
     return out
