@@ -203,6 +203,16 @@ def regions(ratio: np.ndarray, sigma: float = 1.5) -> np.ndarray:
 SHARE_SHORT, SHARE_BULLET, SHARE_SENTENCE = 0.07, 0.15, 0.025
 #: Pages of corpus-wide evidence that are added to a site's own.
 PRIOR = 100
+#: Lines that are no body between a content region and a body line that still belongs to it, at most.
+REACH = 2
+
+
+def bounded(may: np.ndarray, seeds: np.ndarray, strong: np.ndarray) -> np.ndarray:
+    """The certain lines of ``may``, lines that a body can have, from the first to the last of ``seeds`` and as far around them as no gap is too wide."""
+    apart = np.cumsum(np.r_[0, np.diff(may) > REACH + 1])
+    at = np.searchsorted(may, seeds[[0, -1]])
+    body = may[(apart >= apart[at[0]]) & (apart <= apart[at[1]])]
+    return body[strong[body]]
 
 
 def decide(kinds: np.ndarray, ratio: np.ndarray, share: np.ndarray, own: np.ndarray, leads: np.ndarray) -> np.ndarray:
@@ -212,10 +222,13 @@ def decide(kinds: np.ndarray, ratio: np.ndarray, share: np.ndarray, own: np.ndar
     template's subject is its page's own, NaN without subject; ``leads``: whether lines
     like it lead to offers of other pages.
 
-    Content regions say where the body is. In them, and between them, a line stays if it
-    is of a kind that bodies have: sentences that the site does not repeat, figures and
-    headings about the page's subject, numbered questions, rows of numbers, and list items.
-    What follows a line that leads to other pages' offers is not the body any more.
+    Content regions that hold a certain line bound the body: it runs from the first of them
+    to the last, and on over certain lines and list items that are no more than ``REACH``
+    other lines apart. Only a page whose certain lines all lie outside its regions is
+    bounded by those lines. In the body the corpus counts decide: a line
+    stays if it is of a kind that bodies have: sentences that the site does not repeat,
+    figures and headings about the page's subject, numbered questions, rows of numbers, and
+    list items. What follows a line that leads to other pages' offers is not the body any more.
     """
     n = len(kinds)
     is_ = lambda bit: (kinds & bit) > 0
@@ -228,10 +241,12 @@ def decide(kinds: np.ndarray, ratio: np.ndarray, share: np.ndarray, own: np.ndar
     item = short & ~sentence & ~is_(SLOT) & ~common & ~is_(PATH) & ~strong & (ratio >= 4)
     ends = np.flatnonzero(leads & short & ~strong)
     stop = int(ends[0]) if len(ends) else n
-    dense = regions(ratio)
-    body = np.flatnonzero(strong[:stop])
-    if not len(body):
+    certain = np.flatnonzero(strong[:stop])
+    if not len(certain):
         return np.zeros(n, bool)
+    dense = regions(ratio)
+    seeds = certain[dense[certain]]
+    body = bounded(np.flatnonzero((strong | item)[:stop]), seeds, strong) if len(seeds) else certain
     # the body runs from its first to its last certain line; a list that follows it directly is its end
     first, last = int(body[0]), int(body[-1])
     while last + 1 < stop and item[last + 1]:
@@ -273,7 +288,7 @@ def judged_lines(pages: DataFrame, sites: DataFrame) -> DataFrame:
     template (numbers and subjects masked), a kind and a text-to-tag ratio. Over the corpus
     three things are counted per template: on how much of its site's pages of one script it
     stands, how often its subject is that of its page, and how often an offer of another
-    page follows it. ``decide`` then selects the content regions and judges their lines.
+    page follows it. ``decide`` then bounds the body by the content regions and judges its lines.
 
     Defined cases: null and empty texts have no lines; a page without certain content has no
     own lines; pages of unknown site are compared with the whole corpus only; page ids are

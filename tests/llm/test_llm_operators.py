@@ -285,6 +285,20 @@ def test_regions_and_events():
     assert dense[5:7].all() and not dense[0] and not dense[-1]
 
 
+def test_regions_bound_the_body():
+    s, short = boilerplate.SENTENCE, boilerplate.SHORT
+    # menu, body of long sentences, footer with a short sentence that the site does not repeat
+    kinds = np.array([short] * 6 + [s] * 5 + [short] * 6 + [s | short] + [short] * 2)
+    ratio = np.array([8.0] * 6 + [300.0] * 5 + [8.0] * 6 + [26.0] + [8.0] * 2)
+    share = np.where(kinds == short, 0.5, 0.0)
+    own = boilerplate.decide(kinds, ratio, share, np.full(20, np.nan), np.zeros(20, bool))
+    assert np.flatnonzero(own).tolist() == [6, 7, 8, 9, 10]
+    # near the region it is body
+    kinds[[13, 17]], ratio[[13, 17]], share[[13, 17]] = kinds[[17, 13]], ratio[[17, 13]], share[[17, 13]]
+    own = boilerplate.decide(kinds, ratio, share, np.full(20, np.nan), np.zeros(20, bool))
+    assert np.flatnonzero(own).tolist() == [6, 7, 8, 9, 10, 13]
+
+
 def test_main_text(spark):
     pages, sites = [], []
     rng = random.Random(6)
