@@ -276,6 +276,21 @@ def test_find_defects(spark):
     assert scans.find_defects(df.limit(0)).count() == 0
 
 
+def _scans_of(spark, clean: list[str], lines: list[str]):
+    """Clean pages of each text, and a scanned document of which each page has one of the lines among clean ones."""
+    rows = [(i, f"c{i}", "Bank", 1, t, "html", None) for i, t in enumerate(clean)]
+    rows += [(1000 + i, "s", "Bank", i, f"the bank must give every customer\n{x}\nbefore the first payment is made", "ocr", 80.0) for i, x in enumerate(lines)]
+    return spark.createDataFrame(rows, "page_id bigint, doc_id string, bank string, page_no int, text string, method string, ocr_confidence double")
+
+
+_SAID = "the bank must give every customer a copy of the contract before the first payment is made and keep another one-off"
+
+
+def test_misread_hyphenated_words_that_recur(spark):
+    found = {tuple(r) for r in scans.find_defects(_scans_of(spark, [_SAID] * 30, ["keep another onc-off copy of tbe contract", "tbe onc-off copy"] * 3)).collect()}
+    assert {(1000 + i, 1, 2 if i % 2 == 0 else 1, "misread") for i in range(6)} <= found
+
+
 # ------------------------------------------------------------ boilerplate
 
 
