@@ -291,6 +291,14 @@ def test_misread_hyphenated_words_that_recur(spark):
     assert {(1000 + i, 1, 2 if i % 2 == 0 else 1, "misread") for i in range(6)} <= found
 
 
+def test_chance_pairs_are_of_every_script(spark, monkeypatch):
+    monkeypatch.setattr(scans, "SAMPLE", 200)
+    words = [f"{c}{i:03d}x" for c in ("loan", "ставка", "վարկ") for i in range(400)]
+    pairs = spark.createDataFrame([(w, w + "s", 1, 5, 2) for w in words], "word string, meant string, n bigint, n_meant bigint, shared bigint")
+    got = [r["word"][0] for r in scans.by_chance(pairs).collect()]
+    assert 140 < len(got) < 260 and all(got.count(c) > 40 for c in "lсվ")
+
+
 # ------------------------------------------------------------ boilerplate
 
 
