@@ -42,16 +42,26 @@ def numbers_are_real(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _quotes(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "chunk_vectors").where((F.col("vec_id") % 5 == 0) & F.col("text").isNotNull())
+    c = table(spark, sf, "chunk_vectors").where("text IS NOT NULL")
     return c.select("vec_id", "doc_id", F.substring("text", 5, 60).alias("quote"))
 
 
-def quote_exact(spark: SparkSession, sf: str) -> DataFrame:
+def _places(spark: SparkSession, sf: str, quotes: DataFrame) -> DataFrame:
     pages = table(spark, sf, "doc_pages").select("page_id", "doc_id", "text")
-    met = _quotes(spark, sf).join(pages, "doc_id")
+    met = quotes.join(pages, "doc_id")
     return met.where(x.occurs(F.col("quote"), F.col("text"))).select("vec_id", "page_id").distinct()
 
 
+def quote_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The quotes of every fifth chunk, as its SQL has them."""
+    return _places(spark, sf, _quotes(spark, sf).where("vec_id % 5 = 0"))
+
+
+def quote_places(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages of its document on which the quote of each chunk stands."""
+    return _places(spark, sf, _quotes(spark, sf))
+
+
 def quote_verify(spark: SparkSession, sf: str) -> DataFrame:
     chunks = table(spark, sf, "chunk_vectors").where("text IS NOT NULL").select("vec_id", "doc_id", F.left("text", F.lit(400)).alias("text"))
     passages = chunks.select(F.col("doc_id").alias("grp"), F.col("vec_id").alias("passage_id"), "text")
@@ -189,7 +199,7 @@ _SIDE = "CASE value_kind WHEN 'percent' THEN {p} WHEN 'amount' THEN {a} WHEN 'te
 
 QUERIES = {
     "normalize_percent": normalize_percent, "normalize_amount": normalize_amount, "normalize_term": normalize_term, "normalize_currency": normalize_currency, "normalize_fee": normalize_fee,
-    "numbers_are_real": numbers_are_real, "quote_exact": quote_exact, "quote_verify": quote_verify, "rule_extract": rule_extract, "validate_ranges": validate_ranges, "conflict_detect": conflict_detect,
+    "numbers_are_real": numbers_are_real, "quote_exact": quote_exact, "quote_places": quote_places, "quote_verify": quote_verify, "rule_extract": rule_extract, "validate_ranges": validate_ranges, "conflict_detect": conflict_detect,
     "completeness": completeness, "snapshot_asof": snapshot_asof, "review_memory": review_memory, "schema_migration": schema_migration, "snapshot_diff": snapshot_diff, "diff_magnitude": diff_magnitude,
     "variant_diff": variant_diff, "run_metrics": run_metrics, "set_operations": set_operations,
 }
