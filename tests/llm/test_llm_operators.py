@@ -299,6 +299,13 @@ def test_chance_pairs_are_of_every_script(spark, monkeypatch):
     assert 140 < len(got) < 260 and all(got.count(c) > 40 for c in "lсվ")
 
 
+def test_clean_words_are_counted_in_scans_too(spark):
+    lines = ["the quorum must give a copy"] * 20 + ["the quorurn must give a copy", "the contract rnust give a copy"]
+    found = {tuple(r) for r in scans.find_defects(_scans_of(spark, [_SAID] * 30 + ["the quorum"], lines)).collect()}
+    assert {(1020, 1, 1, "misread"), (1021, 1, 2, "misread")} <= found
+    assert not any(p < 1020 and d == "misread" for p, _, _, d in found)
+
+
 # ------------------------------------------------------------ boilerplate
 
 
