@@ -63,7 +63,7 @@ def quote_places(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quote_verify(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = table(spark, sf, "chunk_vectors").where("text IS NOT NULL").select("vec_id", "doc_id", F.left("text", F.lit(400)).alias("text"))
+    chunks = table(spark, sf, "chunk_vectors").where("text IS NOT NULL").select("vec_id", "doc_id", "text")
     passages = chunks.select(F.col("doc_id").alias("grp"), F.col("vec_id").alias("passage_id"), "text")
     asked = chunks.where("length(text) > 60").select(F.col("vec_id").alias("answer_id"), F.col("doc_id").alias("grp"), F.translate(F.substring("text", 3, 50), "ae", "eo").alias("quote"), F.col("vec_id").alias("cited"))
     return x.verify_quotes(asked, passages)
