@@ -7,6 +7,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -309,24 +310,25 @@ def test_clean_words_are_counted_in_scans_too(spark):
 # ------------------------------------------------------------ boilerplate
 
 
-def test_regions_and_events():
-    assert boilerplate.read_lines("a<b>c</b> &amp; d\nplain")[0] == (0, "ac & d", 2)
-    dense = boilerplate.regions(np.array([4, 5, 3, 4, 200, 300, 250, 220, 5, 4, 3, 2.0]))
-    assert dense[5:7].all() and not dense[0] and not dense[-1]
+def _batch(pages: list[list[tuple[float, float]]]) -> pa.RecordBatch:
+    """Pages of lines given by their characters and how much of them the site leaves to the page."""
+    lists = lambda i, t: pa.array([[x[i] for x in p] for p in pages], pa.list_(t))
+    numbers = pa.array([list(range(len(p))) for p in pages], pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([numbers, lists(0, pa.float32()), pa.array([[0.0] * len(p) for p in pages], pa.list_(pa.float32())), lists(1, pa.float32())], names=["no", "chars", "tags", "keep"])
 
 
-def test_regions_bound_the_body():
-    s, short = boilerplate.SENTENCE, boilerplate.SHORT
-    # menu, body of long sentences, footer with a short sentence that the site does not repeat
-    kinds = np.array([short] * 6 + [s] * 5 + [short] * 6 + [s | short] + [short] * 2)
-    ratio = np.array([8.0] * 6 + [300.0] * 5 + [8.0] * 6 + [26.0] + [8.0] * 2)
-    share = np.where(kinds == short, 0.5, 0.0)
-    own = boilerplate.decide(kinds, ratio, share, np.full(20, np.nan), np.zeros(20, bool))
-    assert np.flatnonzero(own).tolist() == [6, 7, 8, 9, 10]
-    # near the region it is body
-    kinds[[13, 17]], ratio[[13, 17]], share[[13, 17]] = kinds[[17, 13]], ratio[[17, 13]], share[[17, 13]]
-    own = boilerplate.decide(kinds, ratio, share, np.full(20, np.nan), np.zeros(20, bool))
-    assert np.flatnonzero(own).tolist() == [6, 7, 8, 9, 10, 13]
+def test_regions_select_the_content():
+    assert boilerplate.read_lines("a<b>c</b> &amp; d\nplain")[0] == (0, "ac & d", 2)
+    menu, text, footer = [(10.0, 0.01)] * 5, [(300.0, 1.0)] * 4, [(12.0, 0.02)] * 4
+    lines = boilerplate.Lines(_batch([menu + text + footer, text, menu, []]))
+    v, _, n = boilerplate.own_share(lines, None, None)
+    dense = boilerplate.regions(lines, v, n)
+    assert dense[:13].tolist() == [False] * 5 + [True] * 4 + [False] * 4
+    assert dense[13:17].all() and not dense[17:].any()  # pages of one kind of line
+    # what follows a line that leads to offers is no content
+    lead = {"n": np.full(13, 9.0), "value": np.r_[np.zeros(5), np.ones(4), np.zeros(4)], "leads": np.eye(13)[4]}
+    some = boilerplate.Lines(_batch([menu + text + footer]))
+    assert not boilerplate.own_share(some, lead, lead)[0].any()
 
 
 def test_main_text(spark):
@@ -334,22 +336,26 @@ def test_main_text(spark):
     rng = random.Random(6)
     words = "applicant statement income answers request guarantor contract million insurance branch customer partial repayment schedule tariff".split()
     said = lambda: " ".join(["The bank", *rng.sample(words, 9)]) + "."
-    for i in range(40):
-        name = ["Car", "Home", "Gold Pledge", "Student"][i % 4]
-        other = ["Car", "Home", "Gold Pledge", "Student"][(i + 1 + i // 4 % 3) % 4]
-        body = [f"How to get the {name} loan", said(), f"Amount | {name} | {i}00 000 AMD", f"{name}, term — {i} months", "1. Do I need a guarantor?", said()]
-        page = ["HOME", "Cards", "Contact", *body, "Read also", f"Apply online and get {other} in {i} minutes", "All rights reserved", "© 2020 Bank"]
+    names = [f"{a} {b}" for a in ("Gold", "Green", "Quick", "New", "Old") for b in ("Car", "Home", "Garden", "Study", "Farm", "Roof", "Boat", "Van")]
+    items = [f"{a} {b}" for a in ("passport", "tax return", "pledge form", "bank statement", "power of attorney") for b in ("copy", "original", "if available", "translated", "sealed", "on request", "for the pledger", "in electronic form")]
+    for i in range(400):
+        name, other = names[i % 40], names[(i * 7 + 3) % 40]
+        body = [f"How to get the {name} loan", said(), f"Amount | {name} | {i}00 000 AMD", f"{name}, term — {i} months", *rng.sample(items, 2), f"{i % 97 + 1}. Do I need a guarantor?", said()]
+        page = ["HOME", "Cards", "Contact", *body, "Read also", f"Apply online and get {other} in {i} minutes", said(), "All rights reserved", "© 2020 Bank"]
         pages.append((i, f"d{i}", "\n".join(page)))
         sites.append((f"d{i}", "bank.example"))
-    df = spark.createDataFrame([*pages, (99, "d0", None), (98, "none", "")], "page_id bigint, doc_id string, text string")
+    df = spark.createDataFrame([*pages, (999, "d0", None), (998, "none", "")], "page_id bigint, doc_id string, text string")
     judged = boilerplate.judged_lines(df, spark.createDataFrame(sites, "doc_id string, site string"))
     by: dict = {}
     for r in judged.collect():
         by.setdefault(r["page_id"], {})[r["line_no"]] = r["own"]
-    right = sum(by[i][k] == (3 <= k <= 8) for i in range(40) for k in range(13))
-    assert right >= 0.97 * 40 * 13
+    right = sum(by[i][k] == (3 <= k <= 10) for i in range(400) for k in range(16))
+    wrong = [sum(by[i][k] != (3 <= k <= 10) for i in range(400)) for k in range(16)]
+    assert right >= 0.97 * 400 * 16, str(wrong)
+    joined = boilerplate.judged_lines(df, spark.createDataFrame(sites, "doc_id string, site string"), lookup_rows=0)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, judged.collect()))
     text = {r["page_id"]: r["text"] for r in boilerplate.main_text(df.select("page_id", "text"), judged).collect()}
-    assert "HOME" not in text[3] and text[98] == ""
+    assert "HOME" not in text[3] and text[998] == ""
 
 
 # ------------------------------------------------------------ every query
