@@ -129,15 +129,15 @@ def line_script(line: str) -> str | None:
     return best if n[best] else None
 
 
-def suspects(text: str) -> list[tuple[int, int, str]]:
+def suspects(text: str, disguised: bool = True) -> list[tuple[int, int, str]]:
     """``start, end, around`` of each word that may have look-alikes in it: words of mixed script
-    (``around`` is empty), and words made of look-alikes only amid a line of another script."""
+    (``around`` is empty) and, with ``disguised``, words made of look-alikes only amid a line of another script."""
     out = []
     if _MIXED.search(text):
         for w in _WORD.finditer(text):
             if _MIXED.search(w.group()):
                 out.append((w.start(), w.end(), ""))
-    for s, only in _ONLY.items():
+    for s, only in _ONLY.items() if disguised else ():
         if any(_SURE[o].search(text) for o in SCRIPTS if o != s):
             for w in only.finditer(text):
                 a = text.rfind("\n", 0, w.start()) + 1
@@ -173,7 +173,7 @@ def _digest(text: str) -> bytes:
     return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
 
 
-def _scan(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], keep_text: bool, strict: bool) -> Iterator[pa.RecordBatch]:
     """Rows ``kind, id, text`` in; each row's simple form (or its print) with its suspects out, and in the end the words seen."""
     words: set[str] = set()
 
@@ -190,7 +190,7 @@ def _scan(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.Rec
         for t in b.column(2).to_pylist():
             f = simple_form(t)
             words.update(f.split())
-            s = sorted({f"{around}\t{f[a:e]}" for a, e, around in suspects(f)}) if not f.isascii() else []
+            s = sorted({f"{around}\t{f[a:e]}" for a, e, around in suspects(f, not strict)}) if not f.isascii() else []
             keep = keep_text or s
             forms.append(f if keep else None)
             prints.append(None if s else _digest(f))
@@ -207,13 +207,13 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int32()))], names=["suspect", "place", "option", "n_options"])
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch], strict: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         forms, prints = [], []
         for f, befores, afters in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
             to = dict(zip(befores or [], afters or []))
             out, at = [], 0
-            for a, e, around in suspects(f):
+            for a, e, around in suspects(f, not strict):
                 out += [f[at:a], to.get(f"{around}\t{f[a:e]}", f[a:e])]
                 at = e
             done = "".join(out) + f[at:]
@@ -222,17 +222,19 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(forms, pa.string()), pa.array(prints, pa.binary())], names=["kind", "id", "form", "print"])
 
 
-def unify(texts: DataFrame, keep_text: bool = True) -> DataFrame:
+def unify(texts: DataFrame, keep_text: bool = True, strict: bool = True) -> DataFrame:
     """``kind, id, form, print``: the one form of each text and 128 bits that are equal for equal forms.
 
     ``texts``: ``kind, id, text``. Width of characters, kind of space, composition of accents,
     typographic ligatures and invisible characters are settled character by character. Words
-    of mixed script, and words made of look-alikes only in a line of another script, are
-    spelt in one script if every letter has a look-alike there: in the word's dominant script
-    if that spelling occurs in the corpus as a word of one script, else in another script if
-    that one occurs, else in the only script that allows it. Case, digits, accents, words and
-    the length of dashes are never touched. With ``keep_text`` false ``form`` is null for
-    texts without such words.
+    of mixed script are spelt in one script if every letter has a look-alike there and that
+    spelling occurs in the corpus as a word of one script: in the word's dominant script
+    if it does, else in another. Case, digits, accents, words and the length of dashes are
+    never touched. With ``keep_text`` false ``form`` is null for texts without such words.
+
+    ``strict`` false goes beyond that: a mixed word that only one script can spell is respelt
+    though the corpus does not have it, and words made of look-alikes only are respelt in the
+    script of their line.
 
     Defined cases: null texts give no row; empty texts have the empty form; texts of any length
     are processed whole; ids repeat as given; no rows give no rows.
@@ -242,20 +244,20 @@ def unify(texts: DataFrame, keep_text: bool = True) -> DataFrame:
     and come back to their texts by a join on id, so nothing that grows with the corpus is
     collected or broadcast.
     """
-    scanned = cut(texts.where(F.col("text").isNotNull()).select("kind", F.col("id").cast("bigint").alias("id"), "text").mapInArrow(lambda it: _scan(it, keep_text), _SCANNED_SQL))
+    scanned = cut(texts.where(F.col("text").isNotNull()).select("kind", F.col("id").cast("bigint").alias("id"), "text").mapInArrow(lambda it: _scan(it, keep_text, strict), _SCANNED_SQL))
     vocabulary = scanned.where("kind = 'word'").select(F.col("form").alias("option")).distinct()
     rows = scanned.where("kind <> 'word'")
     clean = rows.where(F.size("suspects") == 0).select("kind", "id", "form", "print")
     dirty = rows.where(F.size("suspects") > 0).select("kind", "id", "form", "suspects")
     proposed = dirty.select(F.explode("suspects").alias("suspect")).distinct().mapInArrow(_propose, "suspect string, place int, option string, n_options int")
     known = proposed.join(vocabulary.withColumn("known", F.lit(True)), "option", "left")
-    usable = known.where(F.col("known") | (F.col("n_options") == 1))
+    usable = known.where(F.col("known")) if strict else known.where(F.col("known") | (F.col("n_options") == 1))
     chosen = usable.groupBy("suspect").agg(F.min_by("option", F.struct(F.col("known").isNull(), F.col("place"))).alias("option"))
     pairs = dirty.select("kind", "id", F.explode("suspects").alias("suspect")).distinct().join(chosen, "suspect").groupBy("kind", "id").agg(F.collect_list(F.struct("suspect", "option")).alias("pairs"))
     mended = (
         dirty.join(pairs, ["kind", "id"], "left")
         .select("kind", "id", "form", F.col("pairs.suspect").alias("befores"), F.col("pairs.option").alias("afters"))
-        .mapInArrow(_apply, "kind string, id bigint, form string, print binary")
+        .mapInArrow(lambda it: _apply(it, strict), "kind string, id bigint, form string, print binary")
     )
     return clean.unionByName(mended)
 
@@ -279,3 +281,11 @@ def look_same(prints: DataFrame) -> DataFrame:
     a, b = live.alias("a"), live.alias("b")
     met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.print") == F.col("b.print")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.raw") != F.col("b.raw")))
     return met.select(F.col("a.kind").alias("kind"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+
+
+def look_alike_classes(prints: DataFrame) -> DataFrame:
+    """``kind, id, class_id, n_strings, n_texts``: for each text the smallest id of its form, and how many
+    different strings and how many texts have that form. One row per text, whatever the size of a class."""
+    raws = prints.groupBy("kind", "print", "raw").agg(F.count("*").alias("c"), F.min("id").alias("low"))
+    forms = raws.groupBy("kind", "print").agg(F.count("*").alias("n_strings"), F.sum("c").alias("n_texts"), F.min("low").alias("class_id"))
+    return prints.join(forms, ["kind", "print"]).select("kind", "id", "class_id", "n_strings", "n_texts")

@@ -87,8 +87,13 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_forms(spark: SparkSession, sf: str) -> DataFrame:
-    """Every page text and change side in its one form."""
-    return lookalikes.unify(_strings(spark, sf)).select("kind", "id", "form")
+    """Every page text and change side in its one form, words beyond the rule of mixed scripts included."""
+    return lookalikes.unify(_strings(spark, sf), strict=False).select("kind", "id", "form")
+
+
+def p7_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page text and change side with the class of strings that look like it."""
+    return lookalikes.look_alike_classes(lookalikes.prints(_strings(spark, sf)))
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +135,7 @@ def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
     return _labelled(spark, sf)[2].select("doc_id", "line_no", "lang", F.round("confidence", 3).alias("confidence"), "mixed")
 
 
-QUERIES = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_forms": p7_forms, "p8_ids": p8_ids, "p10_found": p10_found, "p10_languages": p10_languages, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_bodies": p1_bodies, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p5_found": p5_found, "p5_pages": p5_pages, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_found": p7_found, "p7_forms": p7_forms, "p7_classes": p7_classes, "p8_ids": p8_ids, "p10_found": p10_found, "p10_languages": p10_languages, "p9_mix": p9_mix, "p9_shares": p9_shares}
 _KEY = "trim(regexp_replace(replace(replace(lower(line), 'և', 'եւ'), 'ß', 'ss'), '[ \t]+', ' ', 'g'), ' ')"
 _REPEATED = rf"""WITH d AS (SELECT doc_id, min(regexp_replace(regexp_extract(lower(trim(source_url)), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', '')) AS site FROM source_docs GROUP BY doc_id),
 l AS (SELECT page_id, doc_id, site, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM doc_pages JOIN d USING (doc_id)),
