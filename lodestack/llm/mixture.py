@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from lodestack.session import cut
 BLOCK_TOKENS, LEAST_BLOCKS, MOST_BLOCKS = 200_000, 64, 1 << 20
 #: Tokens of an output shard.
 SHARD_TOKENS = 4_000_000
+#: Nodes to which the driver draws the splitting tree; the tree below each is drawn by a task.
+NODES = 256
 
 
 def quotas(sizes: dict[str, int], targets: list[tuple[str, float, int]], total: int | None = None) -> dict[str, tuple[int, int]]:
@@ -50,6 +55,42 @@ def split_blocks(counts: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.concatenate([split_blocks(go, left, rng), split_blocks(counts - go, shards - left, rng)])
 
 
+def upper_nodes(counts: np.ndarray, shards: int, nodes: int, seed: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The splitting tree down to about ``nodes`` nodes: ``first shard, shards, counts, starts`` of each, where
+    ``starts`` is how many blocks of each source the nodes before it have."""
+    rng = np.random.default_rng(seed)
+    todo, out = [(0, shards, counts)], []
+    most = max(1, -(-shards // nodes))
+    while todo:
+        first, n, own = todo.pop()
+        if n <= most:
+            out.append((first, n, own))
+            continue
+        left = n // 2
+        total = int(own.sum())
+        go = rng.multivariate_hypergeometric(own, total * left // n, method="marginals") if total else own * 0
+        todo += [(first, left, go), (first + left, n - left, own - go)]
+    out.sort(key=lambda x: x[0])
+    starts = np.cumsum([np.zeros_like(counts), *[own for _, _, own in out]], axis=0)
+    return [(first, n, own, at) for (first, n, own), at in zip(out, starts)]
+
+
+def _lower(seed: int):
+    """Nodes in; the range of each source's blocks that each shard below them gets out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, n, counts, starts in zip(*(c.to_pylist() for c in b.columns)):
+                table = split_blocks(np.array(counts, np.int64), n, np.random.default_rng([seed, first]))
+                ends = table.cumsum(0) + np.array(starts, np.int64)
+                shard, source = np.nonzero(table)
+                last = ends[shard, source]
+                cols = (source.astype(np.int32), (shard + first).astype(np.int32), last - table[shard, source], last)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["i", "shard", "first", "last"])
+
+    return run
+
+
 def _permuted(*cols: str, seed: int):
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
 
@@ -67,9 +108,10 @@ def mix(docs: DataFrame, targets: DataFrame, doc: str = "doc_id", source: str =
     mixture; sources without documents give nothing, which the report shows; a source listed
     twice counts by its larger target; documents stored twice are mixed once; no rows give no rows.
 
-    How it scales: the driver holds the targets, their sizes, and block counts per source and
-    shard, never documents. Blocks and shards are of bounded tokens, so there are more of them as
-    the corpus grows. A source's running token count is taken over its blocks first and only
+    How it scales: the driver holds the targets, their sizes, and the block counts of ``NODES`` nodes
+    of the splitting tree, never documents, blocks or shards; tasks draw the tree below the nodes and
+    its ranges meet the blocks in a join. Shards are of bounded tokens, and blocks too up to
+    ``MOST_BLOCKS`` of a source, so there are more of them as the corpus grows. A source's running token count is taken over its blocks first and only
     inside a block over documents, so a source with a third of all documents is worked on by
     as many tasks as it has blocks.
     """
@@ -103,19 +145,26 @@ def mix(docs: DataFrame, targets: DataFrame, doc: str = "doc_id", source: str =
     each = placed.withColumn("copies", copies).where("copies > 0").select("s", "d", "n", "b", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
     each = cut(each)
 
-    # blocks of one copy of a source are the tree's balls; its draws say how many of them each shard gets
-    dealt = each.select("s", "b", "copy").distinct()
-    order = Window.partitionBy("s").orderBy(_permuted("s", "b", "copy", seed=seed + 1), "b", "copy")
-    balls = dealt.withColumn("rank", F.row_number().over(order) - 1)
-    counts = {r["s"]: int(r["n"]) for r in dealt.groupBy("s").agg(F.count("*").alias("n")).collect()}
+    # blocks of one copy of a source are the tree's balls, ranked in a permuted order: within slices of it, after the slices before
+    dealt = each.select("s", "b", "copy").distinct().withColumn("order", _permuted("s", "b", "copy", seed=seed + 1)).withColumn("slice", F.shiftright("order", 54))
+    slices = dealt.groupBy("s", "slice").agg(F.count("*").alias("c"))
+    counts = {r["s"]: int(r["n"]) for r in slices.groupBy("s").agg(F.sum("c").alias("n")).collect()}  # a row per source of the targets
     names = sorted(counts)
-    rows = []
-    if names:
-        table = split_blocks(np.array([counts[s] for s in names], np.int64), shards, np.random.default_rng(seed))
-        ends = table.cumsum(0)
-        rows = [(s, k, int(ends[k, i] - table[k, i]), int(ends[k, i])) for i, s in enumerate(names) for k in range(shards) if table[k, i]]
-    ranges = spark.createDataFrame(rows, "s string, shard int, first bigint, last bigint")
-    sent = balls.join(F.broadcast(ranges), (balls.s == ranges.s) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))).select(balls.s.alias("s"), "b", "copy", "shard")
+    if not names:
+        return each.select(F.col("d").alias(doc), F.col("s").alias(source), F.col("n").alias("n_tokens"), F.col("copy").cast("int").alias("copy"), F.lit(0).alias("shard"), F.lit(0).alias("position"))
+    earlier = Window.partitionBy("s").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offset = slices.select("s", "slice", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("s", "slice").orderBy("order", "b", "copy")
+    balls = dealt.withColumn("at", F.row_number().over(within) - 1).join(offset, ["s", "slice"]).select("s", "b", "copy", (F.col("offset") + F.col("at")).alias("rank"))
+
+    # ranges meet the balls by steps of a source's order that are about as wide as a range, in time that grows with both only
+    steps = spark.createDataFrame([(s, i, max(1, counts[s] // shards)) for i, s in enumerate(names)], "s string, i int, step bigint")
+    nodes = [(f, n, c.tolist(), at.tolist()) for f, n, c, at in upper_nodes(np.array([counts[s] for s in names], np.int64), shards, NODES, seed)]
+    drawn = spark.createDataFrame(nodes, "first_shard int, shards int, counts array<bigint>, starts array<bigint>").repartition(min(len(nodes), spark.sparkContext.defaultParallelism))
+    ranges = drawn.mapInArrow(_lower(seed), "i int, shard int, first bigint, last bigint").join(F.broadcast(steps), "i")
+    ranges = ranges.withColumn("stride", F.explode(F.sequence(F.expr("first div step"), F.expr("(last - 1) div step")))).select("s", "stride", "shard", "first", "last")
+    strided = balls.join(F.broadcast(steps), "s").withColumn("stride", F.expr("rank div step")).select("s", "b", "copy", "rank", "stride")
+    sent = strided.join(ranges, ["s", "stride"]).where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))).select("s", "b", "copy", "shard")
     local = Window.partitionBy("shard").orderBy("key", "s", "d", "copy")
     mixed = each.join(sent, ["s", "b", "copy"]).withColumn("key", _permuted("s", "d", "copy", "shard", seed=seed + 2))
     return mixed.select(F.col("d").alias(doc), F.col("s").alias(source), F.col("n").alias("n_tokens"), F.col("copy").cast("int").alias("copy"), "shard", F.row_number().over(local).alias("position"))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +17,14 @@ from lodestack.session import cut
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` rows of a group at most train its centroids and codebooks (every row is indexed);
+    """``sample`` rows of a group, or ``per_list`` for each of its lists if that is more, train its centroids and
+    codebooks (every row is indexed; with ``max_lists`` lists that is 131,072 rows at most);
     lists hold about ``list_rows`` rows; a row is searched for in its list's ``probes`` nearest
     lists; ``rerank`` candidates a row and batch go from the quantised scores to exact ones."""
 
     k: int = 10
     sample: int = 40_000
+    per_list: int = 8
     list_rows: int = 256
     max_lists: int = 16_384
     probes: int = 16
@@ -66,17 +70,21 @@ class Index:
         c = kmeans(x, int(max(1, min(s.max_lists, n // s.list_rows, len(x)))), s.rounds, rng)
         rest = x - c[nearest(x, c)]
         books = np.stack([_book(p, s, rng) for p in np.split(_padded(rest, s.parts), s.parts, axis=1)])
-        near = np.argsort(((c[:, None] - c[None]) ** 2).sum(2) if len(c) <= 512 else _distances(c), axis=1, kind="stable")[:, : s.probes]
-        return Index(c, near.astype(np.int32), books)
+        return Index(c, _nearest_lists(c, s.probes), books)
 
     def encode(self, x: np.ndarray, lists: np.ndarray, parts: int) -> np.ndarray:
         rest = _padded(x - self.centroids[lists], parts)
         return np.stack([nearest(p, b) for p, b in zip(np.split(rest, parts, axis=1), self.books)], axis=1).astype(np.uint8)
 
 
-def _distances(c: np.ndarray) -> np.ndarray:
-    sq = (c * c).sum(1)
-    return sq[:, None] + sq[None] - 2 * (c @ c.T)
+def _nearest_lists(c: np.ndarray, probes: int, block: int = 512) -> np.ndarray:
+    """Of each centroid its ``probes`` nearest, block by block."""
+    half, k = (c * c).sum(1) / 2, min(probes, len(c))
+    out = np.zeros((len(c), k), np.int32)
+    for i in range(0, len(c), block):
+        far = half - c[i : i + block] @ c.T
+        out[i : i + block] = np.argpartition(far, k - 1, axis=1)[:, :k]
+    return out
 
 
 def _padded(x: np.ndarray, parts: int) -> np.ndarray:
@@ -214,23 +222,45 @@ def _search(batches: Iterator[pa.RecordBatch], index: list[Index], s: Settings)
         yield from search.hits()
 
 
-def usable(df: DataFrame, vector: str) -> DataFrame:
-    """Rows whose vector is not null, empty, all zeros, nor holds a null or a number that is not finite."""
-    v = F.col(vector)
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.where(v.isNotNull() & (F.size(v) > 0)).where(~bad & F.exists(v, lambda x: x != 0))
+_ROWS_SQL = "grp string, dim int, id bigint, key binary, vec array<float>"
+
+
+def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``grp, id, vector`` in; usable rows out, their vectors of length one, with 128 bits that are equal for equal directions."""
+    for b in batches:
+        col = b.column(2)
+        ends = np.asarray(col.offsets)
+        width = np.where(np.asarray(col.is_null()), 0, np.diff(ends))
+        for d in np.unique(width[width > 0]):
+            at = np.flatnonzero(width == d)
+            cells = ends[at][:, None] + np.arange(d)
+            x = np.asarray(pc.take(col.values, pa.array(cells.reshape(-1))).cast(pa.float64()).fill_null(np.nan)).reshape(-1, d)
+            with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+                x = x / np.abs(x).max(1, keepdims=True)  # so that no square leaves the range of numbers
+                x = np.round(x / np.sqrt((x * x).sum(1))[:, None], 7).astype(np.float32) + np.float32(0)
+            ok = np.isfinite(x).all(1)
+            at, x = at[ok], x[ok]
+            keys = [xxhash.xxh3_128_digest(row) for row in x]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * np.int32(d)), pa.array(x.reshape(-1)))
+            rows = pa.array(at)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), pa.array(np.full(len(x), d, np.int32)), b.column(1).take(rows), pa.array(keys, pa.binary()), lists], names=["grp", "dim", "id", "key", "vec"])
 
 
 def _representatives(rows: DataFrame, most: int) -> DataFrame:
-    """``grp, dim, vec, rep, ids``: each distinct direction with its ``most`` smallest ids, the smallest first.
+    """``grp, dim, key, vec, rep, ids``: each distinct direction with its ``most`` smallest ids, the smallest first.
 
-    Ids are cut to ``most`` within salted groups before they meet, so copies in any number
-    are never rows of one task.
+    Only directions with several ids go on to where ids are ranked, and there without their
+    vectors; ids are cut to ``most`` within salted groups before they meet, so copies in any
+    number are never rows of one task.
     """
-    w = Window.partitionBy("grp", "dim", "vec", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
-    few = rows.select("grp", "dim", "vec", "id").distinct().withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
-    some = few.groupBy("grp", "dim", "vec").agg(F.slice(F.array_sort(F.collect_list("id")), 1, most).alias("ids"))
-    return some.select("grp", "dim", "vec", F.col("ids")[0].alias("rep"), "ids")
+    by = ["grp", "dim", "key"]
+    first = rows.groupBy(*by).agg(F.min_by("vec", "id").alias("vec"), F.min("id").alias("rep"), (F.min("id") != F.max("id")).alias("several"))
+    first = cut(first)
+    w = Window.partitionBy(*by, F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
+    copies = rows.select(*by, "id").join(first.where("several").select(*by), by, "left_semi").distinct()
+    few = copies.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+    ids = few.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list("id")), 1, most).alias("ids"))
+    return first.join(ids, by, "left").select(*by, "vec", "rep", F.coalesce("ids", F.array("rep")).alias("ids"))
 
 
 def _fit(reps: DataFrame, sizes: dict, s: Settings) -> list[Index]:
@@ -238,7 +268,8 @@ def _fit(reps: DataFrame, sizes: dict, s: Settings) -> list[Index]:
     out = []
     for (g, d), n in sizes.items():
         own = reps.where((F.col("grp") == g) & (F.col("dim") == d)).select("rep", "vec")
-        share = min(1.0, s.sample / n)
+        lists = max(1, min(s.max_lists, n // s.list_rows))
+        share = min(1.0, max(s.sample, s.per_list * lists) / n)
         if share < 1:  # by a hash of the id, so that the same rows always give the same index
             own = own.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(share * 1_000_000))
         drawn = own.orderBy("rep").select("vec").toArrow().column("vec").combine_chunks()
@@ -267,9 +298,8 @@ def nearest_neighbours(vectors: DataFrame, id: str, group: str, vector: str, set
     list nor a hot group is held in memory. Groups are embedding models: few, whatever the rows.
     """
     s = settings or Settings()
-    norm = F.sqrt(F.aggregate(F.col(vector), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    rows = usable(vectors, vector).where(F.col(id).isNotNull()).select(F.coalesce(F.col(group), F.lit("\u0000")).alias("grp"), F.size(vector).alias("dim"), F.col(id).cast("bigint").alias("id"), F.col(vector).alias("raw"), norm.alias("norm"))
-    rows = rows.select("grp", "dim", "id", F.transform("raw", lambda x: F.round(x / F.col("norm"), 7).cast("float")).alias("vec"))
+    named = vectors.where(F.col(id).isNotNull()).select(F.coalesce(F.col(group), F.lit("\u0000")).alias("grp"), F.col(id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
+    rows = cut(named.mapInArrow(_normalise, _ROWS_SQL))
     reps = cut(_representatives(rows, s.k + 1))
     sizes = {(r["grp"], r["dim"]): r["n"] for r in reps.groupBy("grp", "dim").agg(F.count("*").alias("n")).orderBy("grp", "dim").collect()}
     numbers = {key: i for i, key in enumerate(sizes)}
@@ -306,7 +336,7 @@ def nearest_neighbours(vectors: DataFrame, id: str, group: str, vector: str, set
     # copies: a row's neighbours are its direction's other ids, then the ids of the directions found
     found = hits.join(reps.select(F.col("rep").alias("other"), "ids"), "other").select("rep", F.struct((-F.col("cosine")).alias("far"), "ids").alias("hit"))
     gathered = found.groupBy("rep").agg(F.collect_list("hit").alias("hits"))
-    members = rows.join(reps.select("grp", "dim", "vec", "rep", "ids"), ["grp", "dim", "vec"]).select("id", "rep", "ids").dropDuplicates(["id"])
+    members = rows.select("grp", "dim", "key", "id").join(reps.select("grp", "dim", "key", "rep", "ids"), ["grp", "dim", "key"]).select("id", "rep", "ids").dropDuplicates(["id"])
     full = members.join(gathered, "rep", "left")
     mine = F.array(F.struct(F.lit(-2.0).cast("float").alias("far"), F.col("ids")))
     every = F.flatten(F.transform(F.concat(mine, F.coalesce("hits", F.slice(mine, 1, 0))), lambda h: F.transform(h["ids"], lambda i: F.struct(h["far"].alias("far"), i.alias("id")))))

@@ -307,6 +307,23 @@ def test_clean_words_are_counted_in_scans_too(spark):
     assert not any(p < 1020 and d == "misread" for p, _, _, d in found)
 
 
+def test_splitting_tree_of_many_shards():
+    counts = np.array([3_000_000, 41, 700_000])
+    nodes = mixture.upper_nodes(counts, 100_000, mixture.NODES, 5)
+    assert len(nodes) <= mixture.NODES and sum(n for _, n, _, _ in nodes) == 100_000
+    at = np.zeros(3, np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array([x[0] for x in nodes]), pa.array([x[1] for x in nodes]), pa.array([x[2].tolist() for x in nodes]), pa.array([x[3].tolist() for x in nodes])], names=["f", "n", "c", "s"])
+    shards = set()
+    for b in mixture._lower(5)(iter([batch])):
+        i, shard, first, last = (np.asarray(c) for c in b.columns)
+        for k in range(3):
+            own = i == k
+            assert (first[own] == np.r_[at[k], last[own][:-1]]).all()  # ranges follow each other without a gap
+            at[k] = last[own][-1] if own.any() else at[k]
+        shards.update(shard.tolist())
+    assert (at == counts).all() and len(shards) == 100_000
+
+
 # ------------------------------------------------------------ boilerplate
 
 
