@@ -143,21 +143,29 @@ def fit(lines: list[str], labels: list[str], per_stratum: int = 40, rounds: int
 
 
 def training_lines(docs: DataFrame, aliases: DataFrame, sample: int = 4000, lines_each: int = 4, shortest: int = 16, longest: int = 600) -> tuple[list[str], list[str]]:
-    """Lines of about ``sample`` labelled documents (the bound of the sample), with the language their label names.
+    """Lines of about ``sample`` labelled documents (the bound of the sample), with the language their label names:
+    ``lines_each`` a document at most, of a longer line ``longest`` characters from a place that its hash gives.
 
     Documents are drawn by a hash of their id, so the same rows always give the same sample."""
     named = docs.select("doc_id", "text", "lang").join(F.broadcast(aliases.select(F.col("label").alias("lang"), F.col("lang").alias("named"))), "lang")
     n = named.count()
     drawn = named.where(F.length("text") >= shortest).withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))).where(F.col("u") < min(1.0, sample / max(1, n)) * 1_000_000)
-    rows = drawn.orderBy("doc_id", "text").select("text", "named").toPandas() if n else None
-    lines, labels = [], []
-    for text, lang in zip(rows["text"], rows["named"]) if rows is not None else ():
-        own = [x for x in text.split("\n") if len(x) >= shortest]
-        step = max(1, len(own) // lines_each)
-        for x in own[::step][:lines_each]:
-            lines.append(x[:longest])
-            labels.append(lang)
-    return lines, labels
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for doc, text, lang in zip(*(c.to_pylist() for c in b.columns)):
+                own = [x for x in text.split("\n") if len(x) >= shortest]
+                for i, x in enumerate(own[:: max(1, len(own) // lines_each)][:lines_each]):
+                    at = zlib.crc32(x.encode("utf-8", "surrogatepass")) % (len(x) - longest + 1) if len(x) > longest else 0
+                    out.append((doc, i, x[at : at + longest], lang))
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, kinds)], names=["d", "i", "line", "named"])
+
+    if not n:
+        return [], []
+    got = drawn.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "named").mapInArrow(pick, "d bigint, i int, line string, named string").orderBy("d", "i", "line", "named").toArrow()
+    return got.column("line").to_pylist(), got.column("named").to_pylist()
 
 
 #: A line counts as another language than its document's from this lead on; shorter lines need more.

@@ -324,6 +324,14 @@ def test_splitting_tree_of_many_shards():
     assert (at == counts).all() and len(shards) == 100_000
 
 
+def test_long_words_and_numbers_are_judged():
+    assert scans.misread_number("1234567890123O5", {"#"} - {"#"}) and not scans.misread_number("123456789012345", {"#"})
+    word = "a" * 35 + "b" * 35
+    assert set(scans.gram_keys(word[:20] + "x" + word[21:], True)) & set(scans.gram_keys(word, False))
+    batch = pa.RecordBatch.from_arrays([pa.array([word]), pa.array([word]), pa.array([1]), pa.array([None], pa.list_(pa.string()))], names=["a", "word", "n", "known"])
+    assert next(scans._by_form(iter([batch]))).column(3).to_pylist() == ["ask"]
+
+
 # ------------------------------------------------------------ boilerplate
 
 
