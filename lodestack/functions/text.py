@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Inflectional suffixes, tried in this order; at most one is taken off.
 SUFFIXES = [
@@ -26,14 +31,52 @@ QUERY_PUNCTUATION = r"""[«»„“”"'`՝․,.!?;:()\[\]{}/\\|_—–-]+"""
 MAX_QUERY = 200
 
 
+# White space as Unicode has it: Java's own class knows ASCII only.
+SPACE = "[\\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def _class_of(changes: Callable[[str], bool]) -> str:
+    """A pattern class of the characters of the basic plane for which ``changes`` holds, as ranges."""
+    points = [c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and changes(chr(c))]
+    starts = [c for i, c in enumerate(points) if not i or points[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(points) if i + 1 == len(points) or points[i + 1] != c + 1]
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends)) + "]"
+
+
+# Characters that canonical composition may change or join to the one before, and those whose folded form is not the lower-case one.
+_COMPOSES = _class_of(lambda ch: unicodedata.combining(ch) > 0 or unicodedata.normalize("NFC", ch) != ch or 0x1160 <= ord(ch) <= 0x11FF or unicodedata.category(ch) == "Mc") + "|[\\x{10000}-\\x{10FFFF}]"
+_FOLDS = _class_of(lambda ch: ch.casefold() != ch.lower()) + "|[\\x{10000}-\\x{10FFFF}]"
+
+
+def _each(f: Callable[[str], str]):
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(f, na_action="ignore")
+
+    return run
+
+
+_nfc, _casefold = _each(lambda x: unicodedata.normalize("NFC", x)), _each(str.casefold)
+
+
+def nfc(text: Column) -> Column:
+    """Canonical composition. Only texts with a character that it may change reach Python, the rest stay in the JVM."""
+    return F.coalesce(_nfc(F.when(text.rlike(_COMPOSES), text)), text)
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding: the lower case, and in Python the texts with one of the few characters that fold otherwise."""
+    return F.coalesce(_casefold(F.when(text.rlike(_FOLDS), text)), F.lower(text))
+
+
 def fold(text: Column) -> Column:
-    """The form used for comparison: lower case, the ligature U+0587 read as U+0576."""
-    return F.lower(F.replace(text, F.lit("և"), F.lit("ն")))
+    """The form used for comparison: composed, the ligature U+0587 read as U+0576, case folded."""
+    return casefold(F.replace(nfc(text), F.lit("և"), F.lit("ն")))
 
 
 def squeeze(text: Column) -> Column:
-    """White space collapsed to single spaces and trimmed."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """White space of any kind collapsed to single spaces and trimmed."""
+    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
 
 def stem(token: Column) -> Column:
@@ -63,12 +106,12 @@ def tokenize(text: Column) -> Column:
 
 def normalize_query(text: Column) -> Column:
     """A name as typed: cut to ``MAX_QUERY``, punctuation to spaces, collapsed, lower case."""
-    return F.lower(squeeze(F.regexp_replace(F.left(text, F.lit(MAX_QUERY)), QUERY_PUNCTUATION, " ")))
+    return casefold(squeeze(F.regexp_replace(nfc(F.left(text, F.lit(MAX_QUERY))), QUERY_PUNCTUATION, " ")))
 
 
 def normalize_chars(text: Column) -> Column:
-    """Private-use bullet to a bullet, private-use characters out, odd spaces plain, one kind of line end, blanks collapsed."""
-    t = F.replace(text, F.lit(BULLET), F.lit("•"))
+    """Composed; private-use bullet to a bullet, private-use characters out, odd spaces plain, one kind of line end, blanks collapsed."""
+    t = F.replace(nfc(text), F.lit(BULLET), F.lit("•"))
     t = F.regexp_replace(t, "[\uE000-\uF8FF]", "")
     t = F.regexp_replace(t, f"[{ODD_SPACES}]", " ")
     t = F.regexp_replace(t, "\r\n?", "\n")

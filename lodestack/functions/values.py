@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestack.functions.tariff_values import let
+from lodestack.functions.text import SPACE
 
 # What a value of each kind looks like.
 PERCENT = r"[0-9]{1,3}(?:[.,][0-9]{1,2})?\s?%"
@@ -167,9 +168,10 @@ def edition(text: Column) -> Column:
 
 def digits_of(text: Column) -> Column:
     """Every number of a text as digits only, in order."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[0-9][0-9.,\s]*[0-9]|[0-9]"), F.lit(0)), lambda x: F.regexp_replace(x, "[^0-9]", "")), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"[0-9](?:[0-9.,]|{SPACE})*[0-9]|[0-9]"), F.lit(0)), lambda x: F.regexp_replace(x, "[^0-9]", "")), lambda x: x != "")
 
 
 def numbers_are_real(quote: Column, passage: Column) -> Column:
-    """Whether a quote states no number that the passage does not."""
-    return F.size(F.array_except(digits_of(quote), digits_of(passage))) == 0
+    """Whether a quote states no number that the passage does not; null texts state none."""
+    said = lambda x: F.coalesce(digits_of(x), F.array().cast("array<string>"))
+    return F.size(F.array_except(said(quote), said(passage))) == 0

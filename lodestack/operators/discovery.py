@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +25,7 @@ ADDRESSES = [("loan info", 30, "primary"), ("loan%20info", 30, "primary"), ("loa
 NEGATIVE = [("tariffs-archive", -60), ("արխիվ", -50), ("archive", -50), ("բիզնես", -35), ("business", -35), ("calculator", -30), ("հաշվիչ", -30)]
 SEGMENTS = [("/individual/", 20), ("/business/", -60), ("/agro/", -60), ("/news/", -40), ("/announcements/", -25), ("/calculators/", -40)]
 PDF_BONUS, RATE_BONUS, RATE_MENTIONS = 10, 15, 3
-RATE_MARKERS = ["տոկոսադրույք", "процентная ставка", "interest rate"]
+RATE_MARKERS = ["տոկոսադրույք", "տարեկան փաստացի", "interest rate"]
 
 
 def _first(text: Column, table: list[tuple]) -> Column:
@@ -88,12 +92,33 @@ def resolve_names(queries: DataFrame, names: DataFrame, unsupported: list[str])
     return q.join(top, "query_id", "left").select("query_id", status.alias("status"), F.when(status == "resolved", F.col("product_id")).alias("product_id"), F.round("s", 4).alias("score"), F.round("lead", 4).alias("lead"))
 
 
+def _locations(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for name, xml in zip(*(c.to_pylist() for c in b.columns)):
+                if not xml or "<!ENTITY" in xml.upper():
+                    continue
+                try:
+                    root = ElementTree.fromstring(xml.strip().encode("utf-8", "replace") if not xml.lstrip().startswith("<?xml") else xml.strip())
+                except (ElementTree.ParseError, ValueError):
+                    continue
+                found = [e.text.strip() for e in root.iter() if isinstance(e.tag, str) and e.tag.rsplit("}", 1)[-1] == "loc" and e.text and e.text.strip()]
+                is_index = root.tag.endswith("sitemapindex")
+                out += [(name, u, is_index, i) for i, u in enumerate(dict.fromkeys(found)) if i < most]
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, kinds)], names=["sitemap", "url", "is_index", "pos"])
+
+    return run
+
+
 def sitemap_locations(sitemaps: DataFrame, most: int = 5000) -> DataFrame:
-    """``sitemap, url, pos, is_index``: addresses of a sitemap in order, repeats dropped; entity declarations make it empty, broken XML gives what can be read."""
-    safe = F.when(~F.col("xml").rlike("(?i)<!ENTITY"), F.col("xml"))
-    found = F.slice(F.regexp_extract_all(safe, F.lit(r"(?s)<loc>\s*(.*?)\s*</loc>"), F.lit(1)), 1, most)
-    each = sitemaps.select("sitemap", F.col("xml").rlike("(?i)<sitemapindex").alias("is_index"), F.posexplode(found).alias("pos", "url"))
-    return each.groupBy("sitemap", "url", "is_index").agg(F.min("pos").alias("pos"))
+    """``sitemap, url, is_index, pos``: the first ``most`` addresses of each sitemap in order, repeats dropped.
+
+    Namespaces and character data sections are read as XML has them. A document that is not
+    well-formed, null, or declares entities has none.
+    """
+    return sitemaps.select(F.col("sitemap").cast("string").alias("sitemap"), "xml").mapInArrow(_locations(most), "sitemap string, url string, is_index boolean, pos int")
 
 
 def follow_index(root: DataFrame, children: DataFrame, most: int = 10) -> DataFrame:

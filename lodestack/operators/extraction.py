@@ -20,6 +20,8 @@ VALUE = {
 }
 SENTENCE_CUT = r"(?<=[։.!?])\s+|\n"
 LEAST_SENTENCE = 12
+# Fixed value: the longest term in months that is taken for one.
+MAX_TERM = 600.0
 
 
 def sentences(chunks: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -63,6 +65,39 @@ def verify_quotes(answers: DataFrame, passages: DataFrame) -> DataFrame:
     return answers.select("answer_id", "cited").join(best.select("answer_id", "passage_id", "score"), "answer_id", "left").select("answer_id", F.col("passage_id").isNotNull().alias("verified"), F.coalesce(F.col("passage_id") != F.col("cited"), F.lit(False)).alias("corrected"), "passage_id", F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"))
 
 
+# Limits of a value's range by kind; no upper one where it is absent.
+LIMITS = {"percent": (0.0, 100.0), "amount": (0.0, None), "term": (0.0, MAX_TERM)}
+
+
+def validate_values(fields: DataFrame) -> DataFrame:
+    """``fields`` with ``problems`` and ``status``: values that fail a check of their kind are ``unverified``.
+
+    ``fields``: ``kind, value, min, max, hosts_ok`` (any more columns stay). A value that is absent, null or
+    ``NOT_FOUND``, is ``not_found`` and not checked; a number that could not be read, a range out of order or
+    limits, and evidence of a host that is not approved are problems; other kinds have no range.
+    """
+    kind = F.col("kind")
+    absent = F.col("value").isNull() | (F.upper(F.trim("value")).isin("", "NOT_FOUND"))
+    checks = F.array().cast("array<string>")
+    for k, (least, most) in LIMITS.items():
+        unread = F.col("min").isNull() | F.col("max").isNull()
+        found = F.when(unread, F.array(F.lit("unreadable"))).otherwise(range_problems(F.col("min"), F.col("max"), least, most))
+        checks = F.when(kind == k, found).otherwise(checks)
+    host = F.when(F.col("hosts_ok"), F.array().cast("array<string>")).otherwise(F.array(F.lit("evidence_host")))
+    problems = F.when(absent, F.array().cast("array<string>")).otherwise(F.concat(host, checks))
+    return fields.withColumn("problems", problems).withColumn("status", F.when(absent, "not_found").when(F.size("problems") > 0, "unverified").otherwise("found"))
+
+
+def rate_problems(fields: DataFrame, key: str, smaller: str, larger: str) -> DataFrame:
+    """``key``: keys whose ``larger`` field, which includes the ``smaller`` one, ends below where that starts.
+
+    ``fields``: ``key, field_id, min, max``; of a field given twice the last row by ``ord`` counts.
+    """
+    pick = lambda f, c: F.max_by(F.when(F.col("field_id") == f, F.col(c)), F.when(F.col("field_id") == f, F.col("ord")))
+    both = fields.where(F.col("field_id").isin(smaller, larger)).groupBy(key).agg(pick(smaller, "min").alias("lo"), pick(larger, "max").alias("hi"))
+    return both.where(F.col("hi") < F.col("lo")).select(key, "lo", "hi")
+
+
 def range_problems(lo: Column, hi: Column, least: float, most: float | None) -> Column:
     """Names of the checks a range fails: order, lower and upper limit."""
     checks = [F.when(lo > hi, F.lit("unordered")), F.when(lo < least, F.lit("too_low"))]

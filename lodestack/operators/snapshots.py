@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.functions.text import label_fold, squeeze
+
 # How large a move must be to count as large.
 LARGE_PERCENT_POINTS, LARGE_AMOUNT_PERCENT = 2.0, 25.0
 
@@ -23,15 +25,18 @@ def migrate(stored: DataFrame, registry: DataFrame, key: str) -> DataFrame:
 
 
 def diff_fields(previous: DataFrame, current: DataFrame, key: list[str], state: str = "norm") -> DataFrame:
-    """``key..., kind``: fields that differ: ``appeared``, ``disappeared`` or ``value``.
+    """``key..., before, after, kind``: fields that differ: ``appeared``, ``disappeared`` or ``value``.
 
-    Inputs: ``key..., value, norm``; a null ``norm`` falls back to the written value without case and spacing.
+    Inputs: ``key..., value, norm``. A field that one side does not have, or has as null or
+    ``NOT_FOUND``, is absent there. Normal forms are compared where both sides have one, else the
+    written values apart from case and spacing.
     """
-    said = F.lower(F.trim(F.regexp_replace("value", r"\s+", " ")))
-    form = lambda d: d.select(*key, F.col("value"), F.coalesce(F.col(state), said).alias("s"), (F.col("value") == "NOT_FOUND").alias("gone"))
+    form = lambda d: d.select(*key, F.col("value"), F.col(state).alias("s"), F.lower(squeeze(F.col("value"))).alias("said"), (F.col("value") != "NOT_FOUND").alias("has"))
     p, c = form(previous).alias("p"), form(current).alias("c")
-    both = p.join(c, key)
-    kind = F.when(F.col("p.gone") & F.col("c.gone"), F.lit(None)).when(F.col("p.gone"), "appeared").when(F.col("c.gone"), "disappeared").when(F.col("p.s").eqNullSafe(F.col("c.s")), F.lit(None)).otherwise("value")
+    both = p.join(c, key, "full")
+    had, has = F.coalesce("p.has", F.lit(False)), F.coalesce("c.has", F.lit(False))
+    same = F.when(F.col("p.s").isNotNull() & F.col("c.s").isNotNull(), F.col("p.s") == F.col("c.s")).otherwise(F.col("p.said") == F.col("c.said"))
+    kind = F.when(~had & ~has, F.lit(None)).when(~had, "appeared").when(~has, "disappeared").when(same, F.lit(None)).otherwise("value")
     return both.select(*key, F.col("p.value").alias("before"), F.col("c.value").alias("after"), kind.alias("kind")).where("kind IS NOT NULL")
 
 
@@ -51,8 +56,11 @@ def significance(kind, size):
 
 
 def variant_diff(previous: DataFrame, current: DataFrame, key: str) -> DataFrame:
-    """``key, label, change``: labels that moved, went or came between two sets of labelled values; of a label given twice the last value counts."""
-    last = lambda d: d.groupBy(key, "label").agg(F.max_by("value", "ord").alias("value"))
+    """``key, label, change``: labels that moved, went or came between two sets of labelled values.
+
+    Labels are compared by their letters, digits and spaces without case; of a label given twice the last value counts.
+    """
+    last = lambda d: d.groupBy(key, label_fold(F.col("label")).alias("label")).agg(F.max_by("value", "ord").alias("value"))
     p, c = last(previous).alias("p"), last(current).alias("c")
     both = p.join(c, [key, "label"], "full")
     change = F.when(F.col("c.value").isNull(), "gone").when(F.col("p.value").isNull(), "new").when(F.col("p.value") != F.col("c.value"), "moved")

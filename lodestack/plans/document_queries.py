@@ -55,7 +55,7 @@ def dedupe_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 
 def join_broken_lines(spark: SparkSession, sf: str) -> DataFrame:
     j = t.join_broken_lines(F.col("text"))
-    return _pages(spark, sf).where("method = 'ocr'").select("page_id", F.size(F.split(j, "\n", -1)).alias("n_lines"), F.md5(j).alias("digest"))
+    return _pages(spark, sf).select("page_id", F.size(F.split(j, "\n", -1)).alias("n_lines"), F.md5(j).alias("digest"))
 
 
 def repair_thousands(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,14 +94,18 @@ def table_render(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _HTML = [
-    (1, "<html><head><title>Car loan</title><script>var a='</p>'</script></head><body><nav>Home</nav><main><h1>Car loan</h1><p>Nominal rate 12%<p>Term 60 months<table><tr><th>Fee</th><td>1 %</td></tr></table><a href='/t.pdf'>Tariffs</a></main></body></html>"),
-    (2, "plain text &amp; more"),
-    (3, None),
+    (-1, "<html><head><title>Car loan</title><script>var a='</p>'</script></head><body><nav>Home</nav><main><h1>Car loan</h1><p>Nominal rate 12%<p>Term 60 months<table><tr><th>Fee</th><td>1 %</td></tr></table><a href='/t.pdf'>Tariffs</a></main></body></html>"),
+    (-2, "plain text &amp; more"),
+    (-3, None),
 ]
 
 
 def html_extract(spark: SparkSession, sf: str) -> DataFrame:
-    read = html.read_html(values(spark, _HTML, "page int, html string"), ["page"], "html")
+    """The pages of the table as documents with a title, a menu and a paragraph a line, and three with tables, links and unclosed tags."""
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.array_join(F.transform(F.split(safe, "\n", -1), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    made = _pages(spark, sf).where("page_id IS NOT NULL").select(F.col("page_id").cast("bigint").alias("page"), F.concat(F.lit("<html><head><title>Page</title></head><body><nav>Home</nav><main><h1>Terms</h1>"), lines, F.lit("</main></body></html>")).alias("html"))
+    read = html.read_html(values(spark, _HTML, "page bigint, html string").unionByName(made), ["page"], "html")
     return read.select("page", "title", "text", F.array_join("headings", "|").alias("headings"), F.to_json("tables").alias("tables"), F.array_join(F.transform("links", lambda x: x["href"]), "|").alias("links"))
 
 
@@ -115,9 +119,10 @@ def url_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SITEMAPS = [
-    ("index", "<sitemapindex><sitemap><loc> a </loc></sitemap><sitemap><loc>b</loc></sitemap></sitemapindex>"),
+    ("index", "<sitemapindex><sitemap><loc> a </loc></sitemap><sitemap><loc>b</loc></sitemap><sitemap><loc>d</loc></sitemap></sitemapindex>"),
     ("a", "<urlset><url><loc>https://x.example/1</loc></url><url><loc>https://x.example/2</loc></url><url><loc>https://x.example/1</loc></url></urlset>"),
     ("b", "<urlset><url><loc>https://x.example/2</loc></url><url><loc>https://x.example/3"),
+    ("d", "<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'><url><loc><![CDATA[https://x.example/5?a=1&b=2]]></loc></url></urlset>"),
     ("c", "<!DOCTYPE a [<!ENTITY b 'c'>]><urlset><url><loc>https://x.example/4</loc></url></urlset>"),
 ]
 
@@ -127,16 +132,24 @@ def sitemap_pages(spark: SparkSession, sf: str) -> DataFrame:
     return discovery.follow_index(found.where("sitemap = 'index'"), found.where("sitemap <> 'index'"))
 
 
+def sitemap_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses of a sitemap per document, written from the table of sources."""
+    u = F.replace(F.replace(F.trim("source_url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    maps = table(spark, sf, "source_docs").where("trim(source_url) <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>")))).alias("x"))  # the addresses of one document
+    return discovery.sitemap_locations(maps.select(F.col("doc_id").alias("sitemap"), F.concat(F.lit("<urlset>"), F.array_join("x", ""), F.lit("</urlset>")).alias("xml"))).select("sitemap", "url", "pos")
+
+
 def source_scoring(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "source_docs").select("source_url", F.col("document_name").alias("anchor"), F.when(F.col("source_url").contains(".pdf"), "pdf").otherwise("html").alias("kind"), F.col("doc_id"))
     ord_ = F.conv(F.left("doc_id", F.lit(7)), 16, 10).cast("int")
-    links = d.groupBy("source_url", "kind", "anchor").agg(F.min(ord_).alias("ord")).select(F.col("source_url").alias("url"), "anchor", "kind", F.lit(0).alias("rate_mentions"), "ord")
+    said = table(spark, sf, "doc_pages").select("doc_id", discovery.rate_mentions(F.col("text")).alias("m")).groupBy("doc_id").agg(F.sum("m").alias("m"))
+    links = d.join(said, "doc_id", "left").groupBy("source_url", "kind", "anchor").agg(F.min(ord_).alias("ord"), F.max("m").alias("rate_mentions")).select(F.col("source_url").alias("url"), "anchor", "kind", "rate_mentions", "ord")
     return discovery.score_sources(links).select("url", "score", "role", F.array_join("reasons", ",").alias("reasons"))
 
 
 def source_choice(spark: SparkSession, sf: str) -> DataFrame:
     scored = source_scoring(spark, sf).withColumn("host", urls.host_of(F.col("url")))
-    return discovery.choose_sources(scored, "host", floor=0.0).select("host", "url", "score", "role", "rank")
+    return discovery.choose_sources(scored, "host", floor=15.0).select("host", "url", "score", "role", "rank")
 
 
 def product_resolution(spark: SparkSession, sf: str) -> DataFrame:
@@ -170,7 +183,7 @@ def dates_and_editions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _P = "(SELECT page_id, doc_id, page_no, coalesce(text, '') AS text, method, quality, ocr_confidence FROM doc_pages)"
-_NC = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(61623), '•'), '[\\x{{E000}}-\\x{{F8FF}}]', '', 'g'), '[{t.ODD_SPACES}]', ' ', 'g'), '\\r\\n?', chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"""
+_NC = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(nfc_normalize(text), chr(61623), '•'), '[\\x{{E000}}-\\x{{F8FF}}]', '', 'g'), '[{t.ODD_SPACES}]', ' ', 'g'), '\\r\\n?', chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"""
 _PN = "array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, " + s.q(t.PAGE_NUMBER) + ")), chr(10))"
 _SECTIONS = f"""lines AS (SELECT page_id, length(text) AS total, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM {_P}),
 placed AS (SELECT page_id, total, no, trim(line) AS title, coalesce(sum(length(line) + 1) OVER (PARTITION BY page_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at, length(trim(coalesce(lead(line) OVER (PARTITION BY page_id ORDER BY no), ''))) AS following FROM lines),
@@ -192,13 +205,15 @@ def _case(x: str, pairs: list[tuple], what: int) -> str:
 
 
 _NORMAL = r"CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_replace(lower(regexp_extract(u, '://([^/?#]*)', 1)), '\.(:|$)', '\1') || regexp_replace(regexp_extract(u, '://[^/?#]*(.*)$', 1), '#.*$', '') ELSE u END"
-_SCORED = f"""l AS (SELECT source_url AS url, document_name AS anchor, CASE WHEN contains(source_url, '.pdf') THEN 'pdf' ELSE 'html' END AS kind, min(CAST('0x' || left(doc_id, 7) AS BIGINT)) AS ord FROM source_docs GROUP BY ALL),
-n AS (SELECT {_NORMAL.replace('u,', 'trim(url),').replace('ELSE u', 'ELSE trim(url)')} AS url, kind, ord, lower(coalesce(anchor, '')) AS a FROM l),
-m AS (SELECT url, kind, ord, a, lower(url) AS u FROM n),
-k AS (SELECT url, kind, ord, {_case('a', discovery.ANCHORS, 0)} AS a_text, {_case('a', discovery.ANCHORS, 1)} AS aw, {_case('a', discovery.ANCHORS, 2)} AS ar, {_case('u', discovery.ADDRESSES, 0)} AS ut, {_case('u', discovery.ADDRESSES, 1)} AS uw, {_case('u', discovery.ADDRESSES, 2)} AS ur,
+_MENTIONS = " + ".join(f"(length(lower(text)) - length(replace(lower(text), {s.q(m)}, ''))) // {len(m)}" for m in discovery.RATE_MARKERS)
+_SCORED = f"""rm AS (SELECT doc_id, sum({_MENTIONS}) AS m FROM doc_pages GROUP BY doc_id),
+l AS (SELECT source_url AS url, document_name AS anchor, CASE WHEN contains(source_url, '.pdf') THEN 'pdf' ELSE 'html' END AS kind, min(CAST('0x' || left(doc_id, 7) AS BIGINT)) AS ord, coalesce(max(m), 0) AS m FROM source_docs LEFT JOIN rm USING (doc_id) GROUP BY source_url, document_name, kind),
+n AS (SELECT {_NORMAL.replace('u,', 'trim(url),').replace('ELSE u', 'ELSE trim(url)')} AS url, kind, ord, m, lower(coalesce(anchor, '')) AS a FROM l),
+m AS (SELECT url, kind, ord, a, kind <> 'pdf' AND m >= 3 AS rates, lower(url) AS u FROM n),
+k AS (SELECT url, kind, ord, rates, {_case('a', discovery.ANCHORS, 0)} AS a_text, {_case('a', discovery.ANCHORS, 1)} AS aw, {_case('a', discovery.ANCHORS, 2)} AS ar, {_case('u', discovery.ADDRESSES, 0)} AS ut, {_case('u', discovery.ADDRESSES, 1)} AS uw, {_case('u', discovery.ADDRESSES, 2)} AS ur,
 {_points(discovery.NEGATIVE, '(instr(u, {0}) > 0 OR instr(a, {0}) > 0)')} AS neg, {_points(discovery.SEGMENTS, 'instr(u, {0}) > 0')} AS seg FROM m),
-sc AS (SELECT url, CAST(coalesce(aw, 0) + coalesce(uw, 0) + neg + seg + CASE WHEN kind = 'pdf' THEN 10 ELSE 0 END AS DOUBLE) AS score, CASE WHEN coalesce(ar, '') = 'primary' OR coalesce(ur, '') = 'primary' THEN 'primary' ELSE 'supporting' END AS role,
-array_to_string(list_filter([a_text, ut, CASE WHEN neg < 0 THEN 'negative' END, CASE WHEN seg <> 0 THEN 'path' END, CASE WHEN kind = 'pdf' THEN 'pdf' END], lambda x: x IS NOT NULL), ',') AS reasons, ord FROM k),
+sc AS (SELECT url, CAST(coalesce(aw, 0) + coalesce(uw, 0) + neg + seg + CASE WHEN kind = 'pdf' THEN 10 WHEN rates THEN 15 ELSE 0 END AS DOUBLE) AS score, CASE WHEN coalesce(ar, '') = 'primary' OR coalesce(ur, '') = 'primary' OR rates THEN 'primary' ELSE 'supporting' END AS role,
+array_to_string(list_filter([a_text, ut, CASE WHEN neg < 0 THEN 'negative' END, CASE WHEN seg <> 0 THEN 'path' END, CASE WHEN kind = 'pdf' THEN 'pdf' END, CASE WHEN rates THEN 'rates' END], lambda x: x IS NOT NULL), ',') AS reasons, ord FROM k),
 best AS (SELECT url, score, role, reasons FROM sc QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, ord) = 1)"""
 _HOST = r"regexp_extract(lower(trim(%s)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
 
@@ -206,7 +221,7 @@ QUERIES = {
     "normalize_chars": normalize_chars, "page_number_lines": page_number_lines, "text_quality": text_quality, "weighted_doc_quality": weighted_doc_quality,
     "best_reading_per_page": best_reading_per_page, "furniture_lines": furniture_lines, "dedupe_paragraphs": dedupe_paragraphs, "join_broken_lines": join_broken_lines,
     "repair_thousands": repair_thousands, "detect_sections": detect_sections, "section_lookup": section_lookup, "chunk_documents": chunk_documents, "chunk_pages": chunk_pages,
-    "table_render": table_render, "html_extract": html_extract, "url_parts": url_parts, "sitemap_pages": sitemap_pages, "source_scoring": source_scoring, "source_choice": source_choice,
+    "table_render": table_render, "html_extract": html_extract, "url_parts": url_parts, "sitemap_pages": sitemap_pages, "sitemap_scan": sitemap_scan, "source_scoring": source_scoring, "source_choice": source_choice,
     "product_resolution": product_resolution, "revalidation": revalidation, "content_identity": content_identity, "host_pacing": host_pacing, "dates_and_editions": dates_and_editions,
 }
 ORACLE_SQL = {
@@ -236,9 +251,10 @@ SELECT n_regionkey, true AS plausible, array_to_string(r, chr(10)) AS text, CAST
 p AS (SELECT *, list_filter(string_split(regexp_extract(normal, '://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS seg FROM n)
 SELECT source_url, normal, nullif({_HOST % 'source_url'}, '') AS host, trim(regexp_replace(array_to_string(seg[greatest(1, len(seg) - 1):], ' '), '-|_|%20', ' ', 'g')) AS slug, left(sha256(source_url), 32) AS cache_key,
 starts_with(normal, 'https://') AND regexp_extract(normal, '://([^/?#]*)', 1) IN ('kekeracredit.example', 'www.kekeracredit.example', 'sasapobank.example') AS allowed FROM p""",
-    "sitemap_pages": "SELECT DISTINCT unnest(['https://x.example/1', 'https://x.example/2']) AS url",
+    "sitemap_pages": "SELECT DISTINCT unnest(['https://x.example/1', 'https://x.example/2', 'https://x.example/5?a=1&b=2']) AS url",
+    "sitemap_scan": "WITH d AS (SELECT DISTINCT doc_id, trim(source_url) AS url, '<url><loc>' || replace(replace(trim(source_url), '&', '&amp;'), '<', '&lt;') || '</loc></url>' AS x FROM source_docs WHERE trim(source_url) <> '') SELECT doc_id AS sitemap, url, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY x) - 1 AS INTEGER) AS pos FROM d",
     "source_scoring": f"WITH {_SCORED} SELECT url, score, role, reasons FROM best",
-    "source_choice": f"WITH {_SCORED} SELECT nullif({_HOST % 'url'}, '') AS host, url, score, role, CAST(row_number() OVER (PARTITION BY nullif({_HOST % 'url'}, '') ORDER BY role = 'primary' DESC, score DESC, url) AS INTEGER) AS rank FROM best WHERE score >= 0 QUALIFY rank <= 8",
+    "source_choice": f"WITH {_SCORED} SELECT nullif({_HOST % 'url'}, '') AS host, url, score, role, CAST(row_number() OVER (PARTITION BY nullif({_HOST % 'url'}, '') ORDER BY role = 'primary' DESC, score DESC, url) AS INTEGER) AS rank FROM best WHERE score >= 15 QUALIFY rank <= 8",
     "revalidation": "SELECT source_url AS url, doc_id, min(retrieved_at) AS retrieved_at, max(checked_at) AS checked_at FROM source_docs GROUP BY ALL",
     "content_identity": "SELECT sha256(text) AS digest, min(doc_id) AS first_doc, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY ALL",
     "host_pacing": f"WITH d AS (SELECT DISTINCT source_url, retrieved_at, nullif({_HOST % 'source_url'}, '') AS host FROM source_docs) SELECT source_url, retrieved_at, round((epoch_us(retrieved_at) - epoch_us(lag(retrieved_at) OVER (PARTITION BY host ORDER BY retrieved_at, source_url))) / 1e6, 3) AS gap_s FROM d",

@@ -154,5 +154,5 @@ SELECT DISTINCT query_id, id AS doc_id FROM met WHERE matched >= greatest(1, CAS
 n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS m FROM e),
 p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(list_inner_product(a.v, b.v) / ((CASE WHEN a.m = 0 THEN 1 ELSE a.m END) * (CASE WHEN b.m = 0 THEN 1 ELSE b.m END)), 5) AS similarity FROM n a, n b WHERE a.vec_id % 50 = 0)
 SELECT query_id, vec_id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 4""",
-    "normalized_queries": f"SELECT doc_id, document_name, lower({s.squeeze('regexp_replace(left(document_name, 200), ' + s.q(t.QUERY_PUNCTUATION) + ', chr(32), chr(103))')}) AS name FROM (SELECT DISTINCT doc_id, document_name FROM source_docs)",
+    "normalized_queries": f"SELECT doc_id, document_name, {s.casefold(s.squeeze('regexp_replace(nfc_normalize(left(document_name, 200)), ' + s.q(t.QUERY_PUNCTUATION) + ', chr(32), chr(103))'))} AS name FROM (SELECT DISTINCT doc_id, document_name FROM source_docs)",
 }

@@ -6,17 +6,25 @@ from lodestack.functions import text as t
 from lodestack.functions import values as v
 
 
+SPACE = r"[\s\x{1C}-\x{1F}\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def q(s: str) -> str:
     """A SQL string literal; DuckDB's patterns fold case of all letters without being told to."""
     return "'" + s.replace("(?iu)", "(?i)").replace("'", "''") + "'"
 
 
 def fold(x: str) -> str:
-    return f"lower(replace({x}, 'և', 'ն'))"
+    return casefold(f"replace(nfc_normalize({x}), 'և', 'ն')")
+
+
+def casefold(x: str) -> str:
+    """Case folding of the letters that the tables have: of those that fold otherwise than to lower case, three."""
+    return f"replace(replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ'), 'և', 'եւ')"
 
 
 def squeeze(x: str) -> str:
-    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({x}, '{SPACE}+', ' ', 'g'))"
 
 
 def stem(x: str) -> str:

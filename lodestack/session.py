@@ -32,12 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that its
     lineage ends there and a lost executor costs a re-read, not a recomputation.
 
-    The folder is the session's ``spark.checkpoint.dir``; one is made up only when
-    the session names none, as in local tests.
+    The folder is the session's ``spark.checkpoint.dir``; one is made up only where
+    the session names none and runs on one machine, as in tests.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not place and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="lodestack-checkpoint-"))
     return df.checkpoint(eager=True)
 

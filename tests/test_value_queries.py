@@ -13,7 +13,7 @@ def _tables(spark, folder, chunks, pages):
 
 def test_quotes_of_all_chunks_are_placed(spark, tmp_path):
     at = _tables(spark, tmp_path, [(i, "d", f"{i}... the rate of loan number {i} is agreed") for i in range(10)], [(100 + i, "d", f"Loans\n the rate of loan  number {i} is agreed") for i in range(10)])
-    assert {tuple(r) for r in QUERIES["quote_places"](spark, at).collect()} == {(i, 100 + i) for i in range(10)}
+    assert {tuple(r) for r in QUERIES["quote_exact"](spark, at).collect()} == {(i, 100 + i) for i in range(10)}
 
 
 def test_quotes_are_verified_in_whole_chunks(spark, tmp_path):
