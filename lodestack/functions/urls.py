@@ -5,7 +5,7 @@ from __future__ import annotations
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,3 +56,9 @@ def document_name(url: Column) -> Column:
 def resolve(base: pd.Series, link: pd.Series) -> pd.Series:
     """A link against its page's address."""
     return pd.Series([urljoin(b, x) if b and x is not None else x for b, x in zip(base, link)], dtype="object")
+
+
+def filter_allowed(links: DataFrame, url: str, order: str, schemes: list[str], hosts: list[str]) -> DataFrame:
+    """``url, pos``: the addresses that may be fetched, normalised, each once with the first ``order`` it was seen at."""
+    kept = links.where(is_allowed(F.col(url), schemes, hosts))
+    return kept.groupBy(normalize_url(F.col(url)).alias("url")).agg(F.min(order).alias("pos"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.text import squeeze
+from lodestack.functions.text import join_broken_lines, normalize_chars, repair_split_numbers, squeeze, strip_page_numbers
 
 OCR_MARGIN, OCR_FLOOR = 0.10, 60.0
+# Fixed value: documents of lower quality are to be looked at.
+REVIEW_FLOOR = 0.35
 
 
 def edge_lines(pages: DataFrame, doc: str, page: str, text: str, window: int = 3) -> DataFrame:
@@ -81,3 +83,48 @@ def section_at(offsets: DataFrame, found: DataFrame) -> DataFrame:
     """``page, at, title``: the section that holds each offset, by a point-in-interval join within the page."""
     met = offsets.join(found, (offsets.page == found.page) & (found.start_at <= F.col("at")) & (F.col("at") < found.end_at), "left")
     return met.select(offsets.page, "at", "title")
+
+
+def strip_furniture(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
+    """``pages`` with the lines that ``furniture_lines`` finds in their document taken out of ``text``; nothing else changes.
+
+    A document has few such lines: each stands on more than half of its pages, among six a page at most.
+    """
+    running = furniture_lines(pages, doc, page, text).groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
+    met = pages.join(running, pages[doc] == running["__doc"], "left")
+    kept = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("__gone", F.trim(x)))
+    return met.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("__doc", "__gone")
+
+
+def prepare_for_scoring(text):
+    """What is done to a page before its quality is judged: nothing that could hide a defect of its lines."""
+    return squeeze_ends(strip_page_numbers(normalize_chars(text)))
+
+
+def finish_page(text):
+    """What is done once a reading has won: lines joined, split numbers repaired."""
+    return squeeze_ends(repair_split_numbers(join_broken_lines(text)))
+
+
+def squeeze_ends(text):
+    """The text without white space at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def clean_pages(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
+    """Pages cleaned in the fixed order: characters and page numbers, running lines of the document, broken lines and numbers."""
+    prepared = pages.withColumn(text, prepare_for_scoring(F.col(text)))
+    return strip_furniture(prepared, doc, page, text).withColumn(text, finish_page(F.col(text)))
+
+
+def needs_review(pages: DataFrame, doc: str, quality: str, text: str, floor: float = REVIEW_FLOOR) -> DataFrame:
+    """``doc, quality, needs_review``: documents whose weighted quality is below the floor."""
+    return weighted_quality(pages, doc, quality, text).withColumn("needs_review", F.col("quality") < floor)
+
+
+def reading_summary(pages: DataFrame, doc: str, order: list[str]) -> DataFrame:
+    """``doc, methods, ocr_confidence``: methods in the order in which a document's pages first use them, and the
+    mean of its confidences that are not negative. Reduced to a row per method first, so no document is held whole."""
+    per = pages.groupBy(F.col(doc).alias("doc"), "method").agg(F.min(F.struct(*order)).alias("at"), F.sum(F.when(F.col("ocr_confidence") >= 0, F.col("ocr_confidence"))).alias("s"), F.count_if(F.col("ocr_confidence") >= 0).alias("c"))
+    one = per.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "method"))).alias("m"), F.try_divide(F.sum("s"), F.sum("c")).alias("ocr_confidence"))
+    return one.select("doc", F.transform("m", lambda x: x["method"]).alias("methods"), "ocr_confidence")

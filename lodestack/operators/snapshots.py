@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import label_fold, squeeze
@@ -65,3 +65,38 @@ def variant_diff(previous: DataFrame, current: DataFrame, key: str) -> DataFrame
     both = p.join(c, [key, "label"], "full")
     change = F.when(F.col("c.value").isNull(), "gone").when(F.col("p.value").isNull(), "new").when(F.col("p.value") != F.col("c.value"), "moved")
     return both.select(key, "label", change.alias("change")).where("change IS NOT NULL")
+
+
+def provenance(snapshots: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``snapshots`` with ``provenance`` and ``notes``: whether each can be compared with its key's one before.
+
+    ``baseline`` for the first, ``method_changed`` or ``prompt_changed`` where the reading itself is another,
+    else ``comparable``; ``notes`` names a new ``edition`` or ``date`` of the document.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    before = lambda c: F.lag(c).over(w)
+    first = F.row_number().over(w) == 1
+    moved = lambda c: ~F.col(c).eqNullSafe(F.col(f"__{c}"))
+    cols = ("extraction_method", "prompt_version", "document_edition", "document_date")
+    seen = snapshots.withColumns({"__first": first, **{f"__{c}": before(c) for c in cols}})
+    kind = F.when(F.col("__first"), "baseline").when(moved("extraction_method"), "method_changed").when(moved("prompt_version"), "prompt_changed").otherwise("comparable")
+    notes = F.array_compact(F.array(F.when(moved("document_edition"), F.lit("edition")), F.when(moved("document_date"), F.lit("date"))))
+    return seen.withColumn("provenance", kind).withColumn("notes", F.when(F.col("__first"), F.slice(notes, 1, 0)).otherwise(notes)).drop("__first", *[f"__{c}" for c in cols])
+
+
+def ordered_changes(changes: DataFrame, group: str, registry: DataFrame) -> DataFrame:
+    """``changes`` with ``place``: large ones first, then notable and silent ones, each in the registry's order of fields."""
+    weight = F.when(F.col("significance") == "large", 0).when(F.col("significance") == "notable", 1).otherwise(2)
+    known = changes.join(F.broadcast(registry.select("field_id", "seq_no")), "field_id", "left")  # a row per field
+    w = Window.partitionBy(group).orderBy(weight, F.col("seq_no").asc_nulls_last(), "change_id")
+    return known.withColumn("place", F.row_number().over(w)).drop("seq_no")
+
+
+def field_tally(fields: DataFrame, group: str) -> DataFrame:
+    """``group, found, total, absent``: how many fields have a value, and the names of those that do not.
+
+    ``fields``: ``group, field_id, value``; a field counts as found if any of its rows has a value. Registries are small.
+    """
+    has = F.coalesce(~F.upper(F.trim("value")).isin("", "NOT_FOUND"), F.lit(False))
+    each = fields.groupBy(group, "field_id").agg(F.max(has).alias("has"))
+    return each.groupBy(group).agg(F.count_if("has").alias("found"), F.count("*").alias("total"), F.array_sort(F.collect_list(F.when(~F.col("has"), F.col("field_id")))).alias("absent"))

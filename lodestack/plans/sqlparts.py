@@ -19,8 +19,11 @@ def fold(x: str) -> str:
 
 
 def casefold(x: str) -> str:
-    """Case folding of the letters that the tables have: of those that fold otherwise than to lower case, three."""
-    return f"replace(replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ'), 'և', 'եւ')"
+    """Case folding in SQL: lower case, and the letters and ligatures of the tables' scripts that fold otherwise."""
+    out = f"lower({x})"
+    for ch in "ßςևﬀﬁﬂﬃﬄﬅﬆﬓﬔﬕﬖﬗ":
+        out = f"replace({out}, '{ch}', '{ch.casefold()}')"
+    return out
 
 
 def squeeze(x: str) -> str:

@@ -180,6 +180,11 @@ def _codes(c: str) -> str:
     return f"CASE WHEN {c} IS NULL THEN NULL WHEN len({named}) > 0 THEN {kept} WHEN regexp_matches({c}, {s.q(v.FOREIGN)}) THEN ['UNSPECIFIED'] END"
 
 
+def code_list(c: str) -> str:
+    """The currencies that a text names, in SQL."""
+    return _codes(c)
+
+
 def _tfac(c: str) -> str:
     return f"(CASE WHEN regexp_matches(regexp_extract(trim({c}), {_TERM}, 3), {s.q(v.YEARS)}) THEN 12.0 ELSE 1.0 END)"
 

@@ -12,7 +12,7 @@ import pytest
 
 from conftest import SMALL
 
-CATALOGUES = ["snapshot", "retrieval", "document", "value"]
+CATALOGUES = ["snapshot", "retrieval", "document", "value", "record"]
 MODULES = [importlib.import_module(f"lodestack.plans.{n}_queries") for n in CATALOGUES]
 QUERIES = {n: f for m in MODULES for n, f in m.QUERIES.items()}
 SQL = {n: s for m in MODULES for n, s in m.ORACLE_SQL.items()}
