@@ -40,7 +40,7 @@ def needs_review(spark: SparkSession, sf: str) -> DataFrame:
 def reading_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Methods and mean confidence of every document's reading."""
     r = cleaning.reading_summary(_pages(spark, sf), "doc_id", ["page_no", "page_id"])
-    return r.select(F.col("doc").alias("doc_id"), F.array_join("methods", ",").alias("methods"), F.round("ocr_confidence", 3).alias("ocr_confidence"))
+    return r.select(F.col("doc").alias("doc_id"), F.array_join("methods", ",").alias("methods"), F.round("ocr_confidence", 6).alias("ocr_confidence"))
 
 
 def allowed_addresses(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +94,7 @@ ORACLE_SQL = {
 c AS (SELECT page_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, trim(x))), chr(10)) END AS text FROM {_P} LEFT JOIN f USING (doc_id))
 SELECT page_id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest FROM c""",
     "needs_review": f"SELECT doc_id, round(coalesce(sum(quality * length(text)) / nullif(sum(length(text)), 0), 0), 4) < 0.7 AS needs_review FROM {_P} GROUP BY doc_id",
-    "reading_summary": f"WITH m AS (SELECT doc_id, method, min((page_no, page_id)) AS first_at FROM {_P} GROUP BY ALL), c AS (SELECT doc_id, round(avg(ocr_confidence) FILTER (ocr_confidence >= 0), 3) AS ocr_confidence FROM {_P} GROUP BY ALL) SELECT doc_id, string_agg(method, ',' ORDER BY first_at) AS methods, any_value(ocr_confidence) AS ocr_confidence FROM m JOIN c USING (doc_id) GROUP BY doc_id",
+    "reading_summary": f"WITH m AS (SELECT doc_id, method, min((page_no, page_id)) AS first_at FROM {_P} GROUP BY ALL), c AS (SELECT doc_id, round(avg(ocr_confidence) FILTER (ocr_confidence >= 0), 6) AS ocr_confidence FROM {_P} GROUP BY ALL) SELECT doc_id, string_agg(method, ',' ORDER BY first_at) AS methods, any_value(ocr_confidence) AS ocr_confidence FROM m JOIN c USING (doc_id) GROUP BY doc_id",
     "allowed_addresses": f"""SELECT normal AS url, min(epoch_us(retrieved_at)) AS pos FROM ({DOCUMENT_SQL["url_parts"]}) u JOIN source_docs USING (source_url) WHERE allowed GROUP BY normal""",
     "text_forms": f"SELECT change_id, nullif({s.casefold(_FORM)}, '') AS form, CAST(nullif(length({_FORM}), 0) AS INTEGER) AS n_chars FROM field_changes",
     "currency_sets": f"SELECT change_id, list_sort({code_list('before')}) IS NOT DISTINCT FROM list_sort({code_list('after')}) AS same_codes FROM field_changes",
